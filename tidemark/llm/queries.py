@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, token_files
+from . import langid, packing, quality, secrets, token_files
 from .common import shared_folder, stored, table
 
 
@@ -19,6 +19,29 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.remainder(F.col("doc_id")) == 1
+    model = langid.train(docs.where(~held_out).select(F.col("doc_id").alias("id"), "text", "lang"))
+    rows = docs.select("doc_id", held_out.alias("held_out"), "text")
+    return langid.identify(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = secrets.scan(docs.select("doc_id", "text"), secrets.train(docs)).select("doc_id", "secret_spans")
+    of = lambda kind: F.size(F.filter("secret_spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("secret_spans", lambda x: x["kind"] != "crf")
+    digest = F.sha2(secrets.joined(base).cast("binary"), 256).alias("base_sha256")
+    return rows.select("doc_id", of("assign"), of("access"), of("hex"), digest, secrets.joined(F.col("secret_spans")).alias("spans"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"]
+    return quality.assess(table(spark, sf_dir, "documents"), trusted).select(*columns)
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
@@ -32,6 +55,9 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_secret_scan": op2_secret_scan,
+    "op3_quality_rules": op3_quality_rules,
     "op5_token_files": op5_token_files,
     "op6_best_fit_packing": op6_best_fit_packing,
 }

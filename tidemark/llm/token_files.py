@@ -41,6 +41,8 @@ FRAMES = np.dtype([("at", "<u8"), ("size", "<u8"), ("ids", "<u8"), ("crc", "<u4"
 DOCS = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("frame", "<u4"), ("first", "<u8"), ("ids", "<u8")])
 #: Input bytes for each file, so that a file fits in a task many times over.
 FILE_BYTES = 16 << 20
+#: Files whose first ids are broadcast (16 bytes each); more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 
 
 class Frames:
@@ -157,5 +159,7 @@ def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None =
     pairs = F.regexp_replace(backwards, "(.)(.)", "$2$1")
     totals = files.select(part, F.conv(pairs, 16, 10).cast("long").alias("total"))
     bases = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
+    if bases.count() <= MOST_BROADCAST:
+        bases = F.broadcast(bases)
     rows = files.select(part, "content").mapInArrow(documents, "part long, doc_id long, before long, n_tokens long, ids binary")
     return rows.join(bases, "part").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids")

@@ -31,6 +31,7 @@ class CachedEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.style, self.max_parts, self.known = style, max_parts, {}
+        self.ends = {c: self._ids([c])[0].tobytes() for c in ",."}
         if style == "byte":
             blank = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0]
             self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -51,7 +52,16 @@ class CachedEncoder:
             return None
         return text.replace("\n", " \0\n\0").replace(" ", "\0 ").replace("\0 \0", "\0").split("\0")
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: set[str]) -> None:
+        """Keeps the ids of new parts. A comma or full stop behind a letter is a word of its own to both tokenizers."""
+        known = self.known
+        ended = [p for p in new if p[-1] in ",." and p[-2:-1].isalpha()]
+        new.difference_update(ended)
+        new.update(p[:-1] for p in ended)
+        self._call(list(new.difference(known)))
+        known.update((p, known[p[:-1]] + self.ends[p[-1]]) for p in ended)
+
+    def _call(self, new: list[str]) -> None:
         """Encodes parts, many in one call where it can be told from the ids where each begins.
 
         Byte style: each part begins with a blank and has no other. Word style: a part that is "0" stands between two.
@@ -78,7 +88,7 @@ class CachedEncoder:
             self.known.clear()
         cut = [self.parts(t) for t in texts]
         known = self.known
-        self._learn([p for p in {p for parts in cut if parts for p in parts} if p not in known])
+        self._learn(set().union(*(parts for parts in cut if parts)).difference(known))
         get = known.__getitem__
         return [self._ids([t])[0].tobytes() if parts is None else b"".join(map(get, parts)) for t, parts in zip(texts, cut, strict=True)]
 

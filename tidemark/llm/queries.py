@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, ngram_join, packing, quality, secrets, suffix_dedup, token_files
+from . import embedding_dedup, langid, ngram_join, packing, quality, secrets, suffix_dedup, token_files
 from .common import shared_folder, stored, table
 
 
@@ -58,6 +58,10 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_files": op5_token_files,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_ngram_join": op10_ngram_join,
 }
 

@@ -246,7 +246,9 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Field:
     """Fit on planted() and on at most sample_rows texts of docs, labelled by the fixed patterns."""
     rows = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
     order = F.xxhash64("text")
-    picked = rows.select("text", order.alias("order_")).where(F.col("text").rlike("[0-9]")).orderBy("order_", "text").limit(sample_rows)
+    rows = rows.where(F.col("text").rlike("[0-9]"))
+    share = 2 * sample_rows / max(1, rows.count())  # what is sorted stays in proportion to the sample
+    picked = rows.select("text", order.alias("order_")).where(F.shiftrightunsigned(order, 11) / float(1 << 53) < share).orderBy("order_", "text").limit(sample_rows)
     prepare(docs.sparkSession)
 
     def labelled(batches: Batches) -> Batches:
@@ -304,6 +306,30 @@ def scan(docs: DataFrame, field: Field, text: str = "text", spans: str = "secret
     return docs.mapInArrow(found, schema)
 
 
+def redacted(text: str, field: Field, mask: str = "[SECRET]") -> str:
+    """The text with every secret replaced: of assignments the value, of all other spans the whole."""
+    out, last = [], 0
+    for s, e in sorted(_value_spans(text, find(text, field))):
+        if s >= last:
+            out += [text[last:s], mask]
+        last = max(last, e)
+    return "".join([*out, text[last:]])
+
+
+def redact(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
+    """docs with the secrets in text replaced, in all their columns."""
+    held = prepare(docs.sparkSession).sparkContext.broadcast(field)
+    at = docs.columns.index(text)
+
+    def replace(batches: Batches) -> Batches:
+        for batch in batches:
+            columns = list(batch.columns)
+            columns[at] = pa.array([t if t is None else redacted(t, held.value) for t in batch.column(at).to_pylist()], pa.string())
+            yield pa.record_batch(columns, batch.schema.names)
+
+    return docs.mapInArrow(replace, docs.schema)
+
+
 def joined(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")

@@ -228,6 +228,44 @@ def repeats(docs: DataFrame) -> DataFrame:
     return every.mapInArrow(_cut, kind).where(F.size("spans") > 0)
 
 
+def cleaned(docs: DataFrame) -> DataFrame:
+    """docs with what repeats removed from text, in all their columns; documents that lose all their bytes go.
+
+    Where a removed run cuts a character in two, the rest of that character goes too. Texts that lose nothing are as they
+    were and are not shuffled.
+    """
+    spark = prepare(docs.sparkSession)
+    lost = stored(repeats(docs).select("s1", "s2", "kept"))
+    bits = lost.select(F.pmod("s1", F.lit(MARK_BITS)).alias("bit")).distinct().toArrow().column("bit").to_numpy()
+    marked = np.zeros(MARK_BITS, bool)
+    marked[bits] = True
+    held = spark.sparkContext.broadcast(np.packbits(marked))  # MARK_BITS / 8 bytes
+    at, own_names, names = docs.columns.index("text"), docs.columns, ["s1_", "s2_", "maybe_"]
+
+    def digest(batches: Batches) -> Batches:
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(at))
+            own = digests(data[offsets[0] : offsets[-1]], offsets - offsets[0])
+            bit = own[:, 0] % MARK_BITS
+            maybe = (held.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1
+            more = [pa.array(np.ascontiguousarray(own[:, k])) for k in (0, 1)]
+            yield pa.record_batch([*batch.columns, *more, pa.array(maybe.astype(bool))], [*batch.schema.names, *names])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "s1_ long, s2_ long, maybe_ boolean"])
+    every = docs.mapInArrow(digest, schema)
+    some = every.where("maybe_").join(lost, (F.col("s1_") == F.col("s1")) & (F.col("s2_") == F.col("s2")), "left")
+
+    def decode(batches: Batches) -> Batches:
+        for batch in batches:
+            texts = [t if kept is None else kept.decode("utf-8", "ignore") for t, kept in zip(batch.column(at).to_pylist(), batch.column(len(own_names)).to_pylist(), strict=True)]
+            columns = list(batch.columns[: len(own_names)])
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.record_batch(columns, own_names)
+
+    some = some.where("kept is null or octet_length(kept) > 0").select(*docs.columns, "kept")
+    return every.where("not maybe_").select(*docs.columns).unionByName(some.mapInArrow(decode, docs.schema))
+
+
 def digested(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, s1, s2, n_bytes, sha) of docs (doc_id, text), to be joined with repeats by s1 and s2."""
     prepare(docs.sparkSession)

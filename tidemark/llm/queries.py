@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, langid, ngram_join, packing, quality, secrets, suffix_dedup, token_files
+from . import embedding_dedup, langid, ngram_join, packing, quality, secrets, suffix_dedup, token_counts, token_files
 from .common import shared_folder, stored, table
 
 
@@ -54,6 +54,11 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edited = token_counts.masking_edits(table(spark, sf_dir, "documents"))
+    return token_counts.count_edited(edited, vocabulary("byte_bpe_50k.json"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op5_token_files": op5_token_files,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_token_counts": op7_token_counts,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_ngram_join": op10_ngram_join,

@@ -13,6 +13,7 @@ import re
 import numpy as np
 
 _UNKNOWN = re.compile("[^\n -~¡-˿Ͱ-ᙿ]")
+_PLAIN_PART = re.compile(" ?[!-~¡-˿Ͱ-ᙿ]+|\n")
 #: Parts encoded in one call.
 _TOGETHER = 64
 
@@ -83,9 +84,20 @@ class CachedEncoder:
             raw = ids.tobytes()
             self.known.update((p, raw[4 * i : 4 * j]) for p, i, j in zip(group, starts.tolist(), ends.tolist(), strict=True))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def trim(self) -> None:
+        """Keeps the memory bounded; to be called between texts."""
         if len(self.known) > self.max_parts:
             self.known.clear()
+
+    def learn(self, parts: set[str]) -> None:
+        """Makes sure that the ids of all parts are known, of whatever characters they are."""
+        new = parts.difference(self.known)
+        odd = [p for p in new if not _PLAIN_PART.fullmatch(p)]
+        self.known.update((p, x.tobytes()) for p, x in zip(odd, self._ids(odd), strict=True))
+        self._learn(new.difference(odd))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        self.trim()
         cut = [self.parts(t) for t in texts]
         known = self.known
         self._learn(set().union(*(parts for parts in cut if parts)).difference(known))

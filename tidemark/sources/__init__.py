@@ -1 +1 @@
-"""See the package README section for sources."""
+"""Sources and sinks of samples: write requests, the block store, and the driver's tables as series."""

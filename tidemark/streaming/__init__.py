@@ -1 +1 @@
-"""See the package README section for streaming."""
+"""Ingest as a stream: Structured Streaming micro-batches into a store."""

@@ -13,9 +13,18 @@ def _samples(rows: DataFrame, metric: str, labels: dict[str, Column], t: Column,
     return rows.select(F.lit(metric).alias("metric"), make_labels({METRIC: F.lit(metric)} | labels).alias("labels"), t.cast("long").alias("t"), v.cast("double").alias("v"))
 
 
+def millis(rows: DataFrame, name: str) -> Column:
+    """Milliseconds since 1970 of a time column, with or without zone, whatever the session's zone is; fractions go down."""
+    if rows.schema[name].dataType.typeName() == "timestamp_ntz":
+        micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(name))
+    else:
+        micros = F.unix_micros(F.col(name))
+    return F.call_function("div", micros - F.pmod(micros, F.lit(1000).cast("long")), F.lit(1000).cast("long"))
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return rows.select("event_id", "user_id", "event_type", "value", F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
+    return rows.select("event_id", "user_id", "event_type", "value", millis(rows, "ts").alias("t"))
 
 
 def events_value(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,20 +63,21 @@ def events_daily_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counter(events(spark, sf_dir), "events_daily_total", ["day"])
 
 
-def _daily(rows: DataFrame, metric: str, day: Column, labels: dict[str, str], value: Column) -> DataFrame:
-    t = F.unix_millis(F.date_trunc("day", day))
+def _daily(rows: DataFrame, metric: str, time: str, labels: dict[str, str], value: Column) -> DataFrame:
+    t = millis(rows, time)
+    t = t - F.pmod(t, F.lit(86_400_000).cast("long"))
     each = rows.groupBy(t.alias("t"), *[F.col(c).alias(n) for n, c in labels.items()]).agg(value.alias("v"))
     return _samples(each, metric, {n: F.col(n) for n in labels}, F.col("t"), F.col("v"))
 
 
 def orders_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders_total{priority}: the sum of prices of each day."""
-    return _daily(spark.read.parquet(f"{sf_dir}/orders.parquet"), "orders_total", F.col("o_orderdate"), {"priority": "o_orderpriority"}, F.sum("o_totalprice"))
+    return _daily(spark.read.parquet(f"{sf_dir}/orders.parquet"), "orders_total", "o_orderdate", {"priority": "o_orderpriority"}, F.sum("o_totalprice"))
 
 
 def lineitem_quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem_qty{returnflag, linestatus}: the sum of quantities shipped each day."""
-    return _daily(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "lineitem_qty", F.col("l_shipdate"), {"returnflag": "l_returnflag", "linestatus": "l_linestatus"}, F.sum("l_quantity"))
+    return _daily(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "lineitem_qty", "l_shipdate", {"returnflag": "l_returnflag", "linestatus": "l_linestatus"}, F.sum("l_quantity"))
 
 
 SERIES = {

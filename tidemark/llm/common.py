@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -29,6 +30,18 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added where df has such a column (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -59,6 +72,21 @@ def drop_stored(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bit_map(spark: SparkSession, bits: DataFrame, size: int) -> Broadcast:
+    """A broadcast map of `size` bits, those in bits (one column) set: size / 8 bytes whatever the input's size.
+
+    It only spares work: what looks a bit up must be right where too many are set.
+    """
+    found = bits.distinct().toArrow().column(0).to_numpy()  # at most `size` numbers
+    marked = np.zeros(size, bool)
+    marked[found] = True
+    return spark.sparkContext.broadcast(np.packbits(marked))
+
+
+def has_bit(held: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    return (held[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate, for parquet the files' size."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

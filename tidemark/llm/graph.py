@@ -61,5 +61,8 @@ def components(links: DataFrame) -> DataFrame:
         drop_stored(now)
         now = after
         if was == (state["n"], state["h"]):
-            return now.select(F.col("b").alias("node"), F.col("a").alias("component")).unionAll(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+            tops = now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
+            out = stored(now.select(F.col("b").alias("node"), F.col("a").alias("component")).unionAll(tops))
+            drop_stored(now)
+            return out
         was = (state["n"], state["h"])

@@ -53,7 +53,7 @@ class Rolling:
         return mix((prefixes[size:] - prefixes[:n]) * self.inverses[:n] + U(size * _ODD % (1 << 64)))
 
 
-def groups(offsets: np.ndarray, most: int = 1 << 20) -> list[tuple[int, int]]:
+def groups(offsets: np.ndarray, most: int = 1 << 19) -> list[tuple[int, int]]:
     """Rows first:last whose bytes are at most `most` together, or one row."""
     out, first, n = [], 0, len(offsets) - 1
     while first < n:

@@ -11,8 +11,8 @@ links with nothing. Two documents link when 100 * intersection >= PERCENT * unio
    are dropped.
 4. Shingles in the prefixes of up to HOT nodes: pairs within, by the length filter and the positional filter; each pair once;
    then the suffix filter (the least sum of counts by bucket, over all shingles, bounds the intersection); then the sets.
-5. Shingles in more prefixes: these shingles are grouped if some node has both, and the nodes of each group are dealt to
-   blocks of BLOCK nodes. Each two blocks meet in one task, which verifies all its pairs from the sets and returns a
+5. Shingles in more prefixes: among nodes of like size, these shingles are grouped if some node has both, and the nodes of
+   each group are dealt to blocks of BLOCK nodes. Each two blocks meet in one task, which verifies all its pairs from the sets and returns a
    spanning forest of the links, never the pairs. No task holds more than two blocks, and none is skipped.
 6. Components of the links.
 
@@ -23,6 +23,7 @@ part in no link and have no component. An empty table gives an empty result. Oth
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -30,16 +31,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, prepare, stored, text_buffers
+from .common import Batches, bit_map, drop_stored, has_bit, prepare, stored, text_buffers
 from .graph import components
 from .hashing import U, Rolling, groups, mix
 
 SHINGLE, PERCENT = 4, 85
-ORDER_BUCKETS = 1 << 16
-HOT, BLOCK = 48, 384
+ORDER_BUCKETS = 1 << 20
+#: Counters that travel in one row.
+CHUNK = 1 << 12
+HOT = 48
+#: Nodes and shingles of a block.
+BLOCK, BLOCK_SHINGLES = 512, 500_000
 SKETCH = 64
-#: Bits of the map that says which nodes' sets may be needed; a set bit too many costs time only.
-NEEDED_BITS = 1 << 23
+#: Bits of the maps that say which nodes' sets may be needed and which shingles several prefixes may have; a bit too many costs time only.
+MAP_BITS = 1 << 23
 
 _ROLLING: list[Rolling] = []
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -93,15 +98,25 @@ def frequencies(docs: DataFrame, size: int) -> np.ndarray:
     def count(batches: Batches) -> Batches:
         total = np.zeros(ORDER_BUCKETS, np.int64)
         for batch in batches:
-            for s in shingles(batch.column(0), size):
-                total += 0 if not len(s) else np.bincount((s >> U(48)).astype(np.int64), minlength=ORDER_BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(at), pa.array(total[at])], ["bucket", "n"])
+            found = shingles(batch.column(0), size)
+            if found:
+                total += np.bincount(_counter(np.concatenate(found)), minlength=ORDER_BUCKETS)
+        yield pa.record_batch([pa.array(np.arange(ORDER_BUCKETS // CHUNK)), pa.array([x.tobytes() for x in total.reshape(-1, CHUNK)], pa.binary())], ["chunk", "counts"])
 
-    found = docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(ORDER_BUCKETS, np.int64)
-    total[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
-    return total
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x, np.int64) for x in pdf["counts"])
+        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "counts": [total.tobytes()]})
+
+    kind = "chunk long, counts binary"
+    sums = docs.select("text").mapInArrow(count, kind).groupBy("chunk").applyInPandas(add, kind).toArrow()
+    total = np.zeros((ORDER_BUCKETS // CHUNK, CHUNK), np.int64)
+    for k, x in zip(sums.column("chunk").to_pylist(), sums.column("counts").to_pylist(), strict=True):
+        total[k] = np.frombuffer(x, np.int64)
+    return total.ravel()
+
+
+def _counter(s: np.ndarray) -> np.ndarray:
+    return (s >> U(64 - ORDER_BUCKETS.bit_length() + 1)).astype(np.int64)
 
 
 def _documents(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -116,7 +131,7 @@ def _documents(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 n = len(s)
                 ns.append(n)
                 sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if n else None)
-                first = np.lexsort((s, order.value[(s >> U(48)).astype(np.int64)]))[: n - _least(n, percent) + 1 if n else 0]
+                first = np.lexsort((s, order.value[_counter(s)]))[: n - _least(n, percent) + 1 if n else 0]
                 prefix.append(s[first].view(np.int64))
                 sketch.append(np.minimum(np.bincount((s & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 65535).astype("<u2").tobytes() if n else None)
             yield pa.record_batch(
@@ -129,22 +144,35 @@ def _documents(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """Rows (id, set) of documents whose id is among ids (and of some others), sets as sorted 8-byte numbers."""
-    bits = ids.select(F.pmod(F.xxhash64("id"), F.lit(NEEDED_BITS)).alias("bit")).distinct().toArrow().column("bit").to_numpy()
-    needed = np.zeros(NEEDED_BITS, bool)
-    needed[bits] = True
-    held = docs.sparkSession.sparkContext.broadcast(np.packbits(needed))  # NEEDED_BITS / 8 bytes
+    held = bit_map(docs.sparkSession, ids.select(F.pmod(F.xxhash64("id"), F.lit(MAP_BITS)).alias("bit")), MAP_BITS)
 
     def rows(batches: Batches) -> Batches:
         for batch in batches:
-            bit = batch.column(2).to_numpy()
-            batch = batch.filter(pa.array((held.value[bit >> 3] >> (7 - (bit & 7)) & 1).astype(bool)))
+            batch = batch.filter(pa.array(has_bit(held.value, batch.column(2).to_numpy())))
             sets = [np.unique(s).tobytes() for s in shingles(batch.column(1), size)]
             yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
 
-    marked = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(NEEDED_BITS)).alias("bit"))
+    marked = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS)).alias("bit"))
     return marked.mapInArrow(rows, "id long, set binary")
 
 
+def _maybe_shared(nodes: DataFrame, shared: DataFrame) -> DataFrame:
+    """Rows (id, n, pos, h) of the prefixes' shingles that are in shared, and of some others."""
+    held = bit_map(nodes.sparkSession, shared.select(F.pmod("h", F.lit(MAP_BITS)).alias("bit")), MAP_BITS)
+
+    def rows(batches: Batches) -> Batches:
+        for batch in batches:
+            prefix = batch.column(2)
+            h, lengths = prefix.flatten().to_numpy(), np.diff(prefix.offsets.to_numpy())
+            at = np.flatnonzero(has_bit(held.value, h % MAP_BITS))
+            of = np.repeat(np.arange(batch.num_rows), lengths)[at]
+            pos = at - (np.cumsum(lengths) - lengths)[of]
+            columns = [batch.column(0).to_numpy()[of], batch.column(1).to_numpy()[of], pos, h[at]]
+            yield pa.record_batch([pa.array(c) for c in columns], ["id", "n", "pos", "h"])
+
+    return nodes.select("id", "n", "prefix").mapInArrow(rows, "id long, n long, pos long, h long").select("id", F.col("n").cast("int").alias("n"), F.col("pos").cast("int").alias("pos"), "h")
+
+
 def _bounded(batch: pa.RecordBatch) -> np.ndarray:
     """Which pairs of sketches (columns 2 and 3) leave an intersection large enough for the sizes (columns 4 and 5)."""
     a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, SKETCH) for k in (2, 3))
@@ -194,18 +222,26 @@ def links_within(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list
 
 
 def _hot_links(flagged: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among nodes that share shingles of more than HOT prefixes."""
-    hot = flagged.where(F.col("holders") > HOT)
-    first = hot.groupBy("id").agg(F.min("h").alias("least"))
-    ties = hot.select("id", "h").join(first, "id").select(F.col("least").alias("a"), F.col("h").alias("b"))
-    group_of = components(ties.distinct())
-    lone = first.join(group_of, F.col("least") == F.col("node"), "left")
-    member = stored(lone.select("id", F.coalesce("component", "least").alias("g")))
-    size = member.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = member.join(size, "g").select("id", "g", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own"))
-    held = placed.join(sets, "id")
-    other = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = other.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "set")
+    """Links (a, b) among nodes that share shingles of more than HOT prefixes.
+
+    Sizes fall into classes such that linked sets are of one class or of neighbours; a window holds a class (left) and the
+    next (right). Within a window, shingles that a node has both are one group, and so are their nodes.
+    """
+    size_class = F.floor(F.ln(F.col("n").cast("double")) / math.log(100 / percent))
+    hot = flagged.where(F.col("holders") > HOT).select("id", "n", "h", size_class.alias("class"))
+    hot = hot.select("id", "n", "class", F.explode(F.array("class", F.col("class") - 1)).alias("w"), "h").withColumn("h", F.xxhash64("h", "w"))
+    first = hot.groupBy("id", "n", "class", "w").agg(F.min("h").alias("least"))
+    ties = hot.select("id", "w", "h").join(first, ["id", "w"]).select(F.col("least").alias("a"), F.col("h").alias("b"))
+    placed = first.join(components(ties), F.col("least") == F.col("node"), "left")
+    member = stored(placed.select("id", "n", (F.col("class") == F.col("w")).alias("left"), F.coalesce("component", "least").alias("g")))
+    blocks = lambda of: F.greatest(F.ceil(F.count(F.when(of, 1)) / BLOCK), F.ceil(F.sum(F.when(of, F.col("n")).otherwise(0)) / BLOCK_SHINGLES)).cast("int")
+    sizes = member.groupBy("g").agg(blocks(F.col("left")).alias("l"), blocks(~F.col("left")).alias("r"), blocks(F.lit(True)).alias("all"), F.count(F.lit(1)).alias("members"))
+    sizes = sizes.where("l > 0 and members > 1").select("g", "l", F.when(F.col("all") == 1, 0).otherwise(F.col("r")).alias("r"))
+    spot = lambda n: F.pmod(F.xxhash64("id"), F.greatest(F.col(n), F.lit(1))).cast("int")
+    own = F.when(F.col("left") | (F.col("r") == 0), spot("l")).otherwise(F.col("l") + spot("r"))
+    dealt = member.join(sizes, "g").select("id", "g", "l", "r", own.alias("own")).join(sets, "id")
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("l") + F.col("r") - 1)))
+    met = other.select("g", "l", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "set").where("i < l").drop("l")
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["id", "set"])
@@ -223,13 +259,16 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     """Rows (doc_id, n_shingles, component_id, sig) of docs (doc_id, text); sig is equal for equal sets."""
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    every = stored(_documents(docs, size, percent))
+    whole = stored(_documents(docs, size, percent))
+    every = stored(whole.select("doc_id", "sig", "n"))
     nodes = stored(
-        every.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
+        whole.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
     )
-    places = nodes.select("id", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "h"))
-    shared = places.groupBy("h").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
-    flagged = stored(places.join(shared, "h"))
+    drop_stored(whole)
+    places = nodes.select("id", F.explode("prefix").alias("h"))
+    # stored before it is joined: an aggregate in the join's own stage would keep Spark from splitting hot keys
+    shared = stored(places.groupBy("h").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1"))
+    flagged = stored(_maybe_shared(nodes, shared).join(shared, "h"))
 
     # up to HOT holders: their pairs, by length and by position
     lists = flagged.where(F.col("holders") <= HOT).groupBy("h").agg(F.collect_list(F.struct("id", "n", "pos")).alias("x"))
@@ -252,6 +291,7 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     pairs = stored(known.mapInArrow(suffix, "a long, b long"))
     ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).unionAll(flagged.where(F.col("holders") > HOT).select("id"))
     sets = stored(_sets(docs, ids, size))
+    drop_stored(shared)
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
 
@@ -264,9 +304,14 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    links = both.mapInArrow(verify, "a long, b long").unionAll(_hot_links(flagged, sets, percent))
+    links = stored(both.mapInArrow(verify, "a long, b long").unionAll(_hot_links(flagged, sets, percent)))
+    for old in (flagged, pairs, sets):
+        drop_stored(old)
     found = components(links)
     of_sig = nodes.select("sig", "id").join(found, F.col("id") == F.col("node"), "left").select("sig", F.coalesce("component", "id").alias("component"))
     result = every.select("doc_id", "sig", "n").join(of_sig, "sig", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return result.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "sig")
+    out = stored(result.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "sig"))
+    for old in (every, nodes, links, found):
+        drop_stored(old)
+    return out

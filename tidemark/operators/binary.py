@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.ieee import ARITHMETIC, COMPARE, number
-from ..model import METRIC, drop_labels, keep_labels
+from ..model import METRIC, drop_labels, keep_labels, no_labels
 
 
 def signature(labels: Column, on: bool | None, names: tuple[str, ...]) -> Column:
@@ -24,18 +24,21 @@ def _single(n: Column, side: str) -> Column:
 def one_to_one(op: str, left: DataFrame, right: DataFrame, returns_bool: bool, on: bool | None, names: tuple[str, ...]) -> DataFrame:
     """Rows of left with a partner on the right. Repeated signatures on the right are an error, on the left only with a partner."""
     sig = signature(F.col("labels"), on, names)
-    partners = right.select("ts", sig.alias("sig"), F.col("v").alias("r")).groupBy("ts", "sig").agg(F.count(F.lit(1)).alias("n"), F.first("r").alias("r"))
-    partners = partners.where(_single(F.col("n"), "right")).drop("n")
+    counted = right.select("ts", sig.alias("sig"), F.col("v").alias("r")).groupBy("ts", "sig").agg(F.count(F.lit(1)).alias("n"), F.first("r").alias("r"))
+    partners = counted.where(_single(F.col("n"), "right")).drop("n")
+    # without rows; Spark may skip the join's right side where the left is empty, but not this
+    check = counted.where((F.col("n") > 1) & _single(F.col("n"), "right")).select("ts", no_labels().alias("labels"), F.col("r").alias("v"))
     pairs = left.select("ts", "labels", "v", sig.alias("sig")).join(partners, ["ts", "sig"])
     pairs = pairs.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("ts", "sig"))).where(_single(F.col("n"), "left"))
     a, b = F.col("v"), F.col("r")
     out = F.col("sig") if on or names else drop_labels(F.col("labels"), [METRIC])
     if op in ARITHMETIC:
-        return pairs.select("ts", out.alias("labels"), ARITHMETIC[op](a, b).alias("v"))
-    test = COMPARE[op](a, b)
-    if returns_bool:
-        return pairs.select("ts", out.alias("labels"), F.when(test, number(1)).otherwise(number(0)).alias("v"))
-    return pairs.where(test).select("ts", out.alias("labels"), "v")
+        rows = pairs.select("ts", out.alias("labels"), ARITHMETIC[op](a, b).alias("v"))
+    elif returns_bool:
+        rows = pairs.select("ts", out.alias("labels"), F.when(COMPARE[op](a, b), number(1)).otherwise(number(0)).alias("v"))
+    else:
+        rows = pairs.where(COMPARE[op](a, b)).select("ts", out.alias("labels"), "v")
+    return rows.unionByName(check)
 
 
 def set_operator(op: str, left: DataFrame, right: DataFrame, on: bool | None, names: tuple[str, ...]) -> DataFrame:

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -87,14 +88,15 @@ def has_bit(held: np.ndarray, bit: np.ndarray) -> np.ndarray:
     return (held[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate, for parquet the files' size."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def text_bytes(df: DataFrame, text: str = "text") -> int:
+    """Catalyst's estimate of df's size (for parquet the files' size); where it has none, the texts' bytes, counted."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return known if known < 1 << 60 else df.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
 
 def partitions_for(df: DataFrame, bytes_each: int) -> int:
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, math.ceil(input_bytes(df) / bytes_each))
+    return max(least, math.ceil(text_bytes(df) / bytes_each))
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

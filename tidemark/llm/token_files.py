@@ -154,7 +154,7 @@ def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None =
                     )
 
     # all ids of a file stand at a fixed place of its footer, as 8 little-endian bytes: hex digits, reversed pair by pair
-    place = len(GAP) + FOOTER.size - 4
+    place = len(GAP) + FOOTER.size - 12
     backwards = F.reverse(F.hex(F.expr(f"substring(content, cast(length as int) - {place - 1}, 8)")))
     pairs = F.regexp_replace(backwards, "(.)(.)", "$2$1")
     totals = files.select(part, F.conv(pairs, 16, 10).cast("long").alias("total"))

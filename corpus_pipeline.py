@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid, ngram_join, packing, secrets, suffix_dedup
-from tidemark.llm.common import prepare, stored, table
+from tidemark.llm.common import fresh, prepare, stored, table
 from tidemark.llm.queries import vocabulary
 
 MIN_SCORE = 0.5
@@ -34,9 +34,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     learn = docs.where(langid.remainder(F.col("doc_id")) != 1)
     model = langid.train(learn.select(F.col("doc_id").alias("id"), "text", "lang"))
-    found = langid.identify(docs, model, language="lang_pred_", score="score_")
+    language, score = fresh(docs, "lang_pred", "score")
+    found = langid.identify(docs, model, language=language, score=score)
     if model.languages:
-        good = (F.col("lang_pred_") != langid.UNKNOWN) & (F.col("score_") >= MIN_SCORE)
+        good = (F.col(language) != langid.UNKNOWN) & (F.col(score) >= MIN_SCORE)
     else:
         good = F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}")
     return found.where(good).select(*docs.columns)

@@ -185,7 +185,11 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", language: str = "lang_pred", score: str = "score") -> DataFrame:
-    """docs with the predicted language and its calibrated probability added, as columns named by language and score."""
+    """docs with the predicted language and its calibrated probability added, as columns named by language and score.
+
+    Columns of docs that have these names already are replaced.
+    """
+    docs = docs.drop(language, score)
     spark = prepare(docs.sparkSession)
     held = spark.sparkContext.broadcast(model)  # BUCKETS weights a language
     at = docs.columns.index(text)

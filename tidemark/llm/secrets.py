@@ -291,7 +291,8 @@ def find(text: str | None, field: Field) -> list[tuple[int, int, int]]:
 
 
 def scan(docs: DataFrame, field: Field, text: str = "text", spans: str = "secret_spans") -> DataFrame:
-    """docs with a column of spans, array<struct<kind, start, end>> in code points, end exclusive."""
+    """docs with a column of spans, array<struct<kind, start, end>> in code points, end exclusive; it replaces one of that name."""
+    docs = docs.drop(spans)
     spark: SparkSession = prepare(docs.sparkSession)
     held = spark.sparkContext.broadcast(field)
     at = docs.columns.index(text)

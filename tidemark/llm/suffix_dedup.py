@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, drop_stored, prepare, stored, text_buffers
+from .common import Batches, bit_map, drop_stored, fresh, has_bit, prepare, stored, text_buffers
 from .hashing import U, Rolling, groups, mix
 
 LENGTH, SPREAD = 400, 128
@@ -128,10 +128,7 @@ def _digested(batches: Batches) -> Batches:
 
 def _marked_texts(texts: DataFrame, marks: DataFrame) -> DataFrame:
     """Rows (s1, s2, z, marks) of each different text that has marks; z is the text, compressed."""
-    bits = marks.select(F.pmod("s1", F.lit(MARK_BITS)).alias("bit")).distinct().toArrow().column("bit").to_numpy()
-    marked = np.zeros(MARK_BITS, bool)
-    marked[bits] = True
-    held = texts.sparkSession.sparkContext.broadcast(np.packbits(marked))  # MARK_BITS / 8 bytes
+    held = bit_map(texts.sparkSession, marks.select(F.pmod("s1", F.lit(MARK_BITS)).alias("bit")), MARK_BITS)
 
     def rows(batches: Batches) -> Batches:
         import zstandard
@@ -140,8 +137,7 @@ def _marked_texts(texts: DataFrame, marks: DataFrame) -> DataFrame:
         for batch in batches:
             data, offsets = text_buffers(batch.column(0))
             own = digests(data[offsets[0] : offsets[-1]], offsets - offsets[0])
-            bit = own[:, 0] % MARK_BITS
-            at = np.flatnonzero((held.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1)
+            at = np.flatnonzero(has_bit(held.value, own[:, 0] % MARK_BITS))
             z = [squeeze(data[offsets[k] : offsets[k + 1]].tobytes()) for k in at.tolist()]
             yield pa.record_batch([pa.array(own[at, 0]), pa.array(own[at, 1]), pa.array(z, pa.binary())], ["s1", "s2", "z"])
 
@@ -200,16 +196,20 @@ def _cut(batches: Batches) -> Batches:
         yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["s1", "s2", "spans", "sha", "kept"])
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """Rows (s1, s2, spans, sha, kept) of each different text that loses bytes; kept holds the rest, sha its sha256."""
+def repeats(docs: DataFrame, columns: tuple[str, ...] = ("spans", "sha", "kept")) -> DataFrame:
+    """Rows (s1, s2, spans, sha, kept) of each different text that loses bytes; kept holds the rest, sha its sha256.
+
+    Of the last three those that columns names. The rows are in the shared folder, what led to them is deleted.
+    """
     prepare(docs.sparkSession)
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    twice = texts.mapInArrow(_hashes, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    # counted tables are stored before they are joined: an aggregate in the join's own stage would keep Spark from splitting hot keys
+    twice = stored(texts.mapInArrow(_hashes, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
     left = stored(texts.mapInArrow(_occurrences, "h long, c long, s1 long, s2 long, at long").join(twice, "h"))
     # copies of a text count, and are one occurrence from here on
-    classes = stored(left.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("s1", "s2", "at")).alias("one")))
-    several = classes.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h", F.lit(ENDS).alias("ends"))
-    classes = classes.join(several, "h", "left").select("h", "c", "n", "one", F.coalesce("ends", F.lit(0)).alias("ends"))
+    classed = stored(left.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("s1", "s2", "at")).alias("one")))
+    several = stored(classed.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h", F.lit(ENDS).alias("ends")))
+    classes = stored(classed.join(several, "h", "left").select("h", "c", "n", "one", F.coalesce("ends", F.lit(0)).alias("ends")))
     whole = F.when(F.col("n") > 1, WHOLE).otherwise(0)
     ends = F.when(F.struct("s1", "s2", "at") == F.col("one"), F.col("ends")).otherwise(0)
     mark = F.col("at") * 4 + whole + ends
@@ -217,15 +217,19 @@ def repeats(docs: DataFrame) -> DataFrame:
     # a copy's marks are those of its text: equal rows, kept once, the representative's with more bits set
     once = placed.groupBy("s1", "s2", F.shiftright("mark", 2).alias("at")).agg(F.bit_or("mark").alias("mark"))
     marks = stored(once.groupBy("s1", "s2").agg(F.sort_array(F.collect_list("mark")).alias("marks")))
-    drop_stored(left)
+    for old in (left, twice, classed, several, classes):
+        drop_stored(old)
     marked = lambda: _marked_texts(texts, marks)
     at_ends = marked().where(F.exists("marks", lambda x: x.bitwiseAND(F.lit(ENDS)) > 0)).select("s1", "s2", "z", "marks")
     strings = stored(at_ends.mapInArrow(_end_strings, "w1 long, w2 long, s1 long, s2 long, at long"))
-    same = strings.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
+    same = stored(strings.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2"))
     found = strings.join(same, ["w1", "w2"]).groupBy("s1", "s2").agg(F.collect_list("at").alias("ends"))
     every = marked().join(found, ["s1", "s2"], "left").select("s1", "s2", "z", "marks", "ends")
     kind = "s1 long, s2 long, spans array<struct<start:bigint,end:bigint>>, sha string, kept binary"
-    return every.mapInArrow(_cut, kind).where(F.size("spans") > 0)
+    out = stored(every.mapInArrow(_cut, kind).where(F.size("spans") > 0).select("s1", "s2", *columns))
+    for old in (marks, strings, same):
+        drop_stored(old)
+    return out
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
@@ -235,25 +239,24 @@ def cleaned(docs: DataFrame) -> DataFrame:
     were and are not shuffled.
     """
     spark = prepare(docs.sparkSession)
-    lost = stored(repeats(docs).select("s1", "s2", "kept"))
-    bits = lost.select(F.pmod("s1", F.lit(MARK_BITS)).alias("bit")).distinct().toArrow().column("bit").to_numpy()
-    marked = np.zeros(MARK_BITS, bool)
-    marked[bits] = True
-    held = spark.sparkContext.broadcast(np.packbits(marked))  # MARK_BITS / 8 bytes
-    at, own_names, names = docs.columns.index("text"), docs.columns, ["s1_", "s2_", "maybe_"]
+    lost = repeats(docs, ("kept",))
+    held = bit_map(spark, lost.select(F.pmod("s1", F.lit(MARK_BITS)).alias("bit")), MARK_BITS)
+    at, own_names = docs.columns.index("text"), docs.columns
+    names = fresh(docs, "s1_", "s2_", "maybe_", "s1", "s2", "kept")
+    lost = lost.toDF(*names[3:])
+    maybe, kept = F.col(names[2]), F.col(names[5])
 
     def digest(batches: Batches) -> Batches:
         for batch in batches:
             data, offsets = text_buffers(batch.column(at))
             own = digests(data[offsets[0] : offsets[-1]], offsets - offsets[0])
-            bit = own[:, 0] % MARK_BITS
-            maybe = (held.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1
+            maybe = has_bit(held.value, own[:, 0] % MARK_BITS)
             more = [pa.array(np.ascontiguousarray(own[:, k])) for k in (0, 1)]
-            yield pa.record_batch([*batch.columns, *more, pa.array(maybe.astype(bool))], [*batch.schema.names, *names])
+            yield pa.record_batch([*batch.columns, *more, pa.array(maybe)], [*batch.schema.names, *names[:3]])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "s1_ long, s2_ long, maybe_ boolean"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{names[0]}` long, `{names[1]}` long, `{names[2]}` boolean"])
     every = docs.mapInArrow(digest, schema)
-    some = every.where("maybe_").join(lost, (F.col("s1_") == F.col("s1")) & (F.col("s2_") == F.col("s2")), "left")
+    some = every.where(maybe).join(lost, (F.col(names[0]) == F.col(names[3])) & (F.col(names[1]) == F.col(names[4])), "left")
 
     def decode(batches: Batches) -> Batches:
         for batch in batches:
@@ -262,8 +265,8 @@ def cleaned(docs: DataFrame) -> DataFrame:
             columns[at] = pa.array(texts, pa.string())
             yield pa.record_batch(columns, own_names)
 
-    some = some.where("kept is null or octet_length(kept) > 0").select(*docs.columns, "kept")
-    return every.where("not maybe_").select(*docs.columns).unionByName(some.mapInArrow(decode, docs.schema))
+    some = some.where(kept.isNull() | (F.octet_length(kept) > 0)).select(*docs.columns, kept)
+    return every.where(~maybe).select(*docs.columns).unionByName(some.mapInArrow(decode, docs.schema))
 
 
 def digested(docs: DataFrame) -> DataFrame:
@@ -276,7 +279,7 @@ def digested(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) of docs (doc_id, text)."""
-    lost = stored(repeats(docs).drop("kept")).withColumnRenamed("sha", "kept_sha")
+    lost = repeats(docs, ("spans", "sha")).withColumnRenamed("sha", "kept_sha")
     rows = digested(docs).join(lost, ["s1", "s2"], "left")
     removed = F.aggregate(F.col("spans"), F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     none = F.lit(0).cast("long")

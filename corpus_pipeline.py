@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages, each on all that the one before kept.
 
-1. language_id: documents without a letter, or whose best language has a calibrated probability under MIN_SCORE, go. The model
-   learns from the stage's own labelled documents, as op1 does; without any label only documents without a letter go.
+1. language_id: documents without a letter go, and those whose best language is hardly likelier than chance: a calibrated
+   probability under MIN_SCORE, or under MIN_RATIO times one out of the number of languages if that is less. The model learns
+   from the stage's own labelled documents, as op1 does; without any label only documents without a letter go.
 2. ngram_join: of each group of linked documents the one with the smallest doc_id stays; of equal rows one stays.
 3. suffix_dedup: byte strings that start elsewhere too are cut out; documents that lose all their bytes go.
 4. secret_scan: secrets are replaced by a mask.
@@ -21,7 +22,7 @@ from tidemark.llm import langid, ngram_join, packing, secrets, suffix_dedup
 from tidemark.llm.common import fresh, prepare, stored, table
 from tidemark.llm.queries import vocabulary
 
-MIN_SCORE = 0.5
+MIN_SCORE, MIN_RATIO = 0.5, 1.2
 
 
 def _with_length(docs: DataFrame) -> DataFrame:
@@ -37,7 +38,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     language, score = fresh(docs, "lang_pred", "score")
     found = langid.identify(docs, model, language=language, score=score)
     if model.languages:
-        good = (F.col(language) != langid.UNKNOWN) & (F.col(score) >= MIN_SCORE)
+        least = min(MIN_SCORE, MIN_RATIO / len(model.languages))
+        good = (F.col(language) != langid.UNKNOWN) & (F.col(score) >= least)
     else:
         good = F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}")
     return found.where(good).select(*docs.columns)

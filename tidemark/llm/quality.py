@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 16
-THRESHOLD = -0.4
+THRESHOLD = -0.25
 MIN_WORDS = 20
 WINDOW = 8
 #: Trusted ids are broadcast up to this many (16 bytes each), beyond it joined by a shuffle.

@@ -15,7 +15,8 @@ import time
 import uuid
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -103,6 +104,14 @@ def in_order(samples: DataFrame, newest: DataFrame | None, floor: int, order: st
     return rows.withColumn("reason", F.coalesce("reason", late)).drop("before_", "newest")
 
 
+def observed(seen: Observation) -> dict | None:
+    """What was observed; None where Spark found out on the way that there was nothing to do, and then observes nothing."""
+    try:
+        return seen.get
+    except Py4JJavaError:
+        return None
+
+
 class Store:
     """One writer at a time."""
 
@@ -153,20 +162,25 @@ class Store:
     # blocks
 
     def _write(self, samples: DataFrame, level: int, parents: list[Block]) -> Block | None:
-        """A new block of samples, partitioned by time and sorted by series; None if there are none."""
+        """A new block of samples, partitioned by time and sorted by series; None if there are none. Its bounds are observed as it is written."""
         id_ = f"{int(time.time() * 1000):013d}-{uuid.uuid4().hex[:12]}"
         path = f"{self.path}/blocks/{id_}"
         start = F.col("t") - F.pmod("t", F.lit(self.block).cast("long"))
-        rows = samples.select("metric", "labels", "t", "v", start.alias("block_start"))
+        seen = Observation()
+        rows = samples.observe(seen, F.min("t").alias("min"), F.max("t").alias("max"), F.count(F.lit(1)).alias("n")).select("metric", "labels", "t", "v", start.alias("block_start"))
         rows.repartition("block_start", F.pmod(F.xxhash64("labels"), F.lit(16))).sortWithinPartitions("block_start", "labels", "t").write.partitionBy("block_start").parquet(path)
-        fs, p = self._fs(path)
-        if not any(s.isDirectory() for s in fs.listStatus(p)):
+        row = observed(seen)
+        if row is None:
+            fs, p = self._fs(path)
+            kept = [s for s in fs.listStatus(p) if s.isDirectory()]
+            row = self.spark.read.schema(SAMPLES_SCHEMA).parquet(path).agg(F.min("t").alias("min"), F.max("t").alias("max"), F.count(F.lit(1)).alias("n")).first().asDict() if kept else {}
+        if not row.get("n"):
+            fs, p = self._fs(path)
             fs.delete(p, True)
             return None
-        row = self.spark.read.schema(SAMPLES_SCHEMA).parquet(path).agg(F.min("t"), F.max("t"), F.count(F.lit(1))).first()
         self._seq += 1
         sources = sorted({s for b in parents for s in (b.sources or [b.id])}) or [id_]
-        return Block(id_, row[0], row[1], row[2], level, [b.id for b in parents], sources, self._seq)
+        return Block(id_, row["min"], row["max"], row["n"], level, [b.id for b in parents], sources, self._seq)
 
     def _read(self, blocks: list[Block]) -> DataFrame:
         """Rows (metric, labels, t, v, block_start, seq) of some blocks, by one scan: seq is looked up from the file's path."""
@@ -210,23 +224,21 @@ class Store:
             heads = [b for b in self.blocks if b.level == 0]
             newest = self._read(heads).groupBy("labels").agg(F.max("t").alias("newest")) if heads else None
             checked = in_order(as_samples(rows), newest, self.floor)
-            staged = f"{self.path}/staging/{uuid.uuid4().hex}"
-            checked.write.parquet(staged)
-            checked = self.spark.read.schema(checked.schema).parquet(staged)
-            refused = checked.where("reason is not null")
-            counts = checked.agg(F.count(F.when(F.col("reason").isNull(), 1)), F.count("reason")).first()
-            errors = [f"{r['reason']} (at {r['t']})" for r in refused.orderBy("seq").limit(MOST_ERRORS + 1).collect()]
-            if len(errors) > MOST_ERRORS:
-                errors = [*errors[: MOST_ERRORS - 1], "... further errors suppressed"]
-            block = self._write(checked.where("reason is null"), 0, [])
+            seen = Observation()
+            counted = [F.count(F.when(F.col("reason").isNull(), 1)).alias("good"), F.count("reason").alias("bad")]
+            block = self._write(checked.observe(seen, *counted).where("reason is null"), 0, [])
+            counts, errors = observed(seen) or checked.agg(*counted).first().asDict(), []
+            if counts["bad"]:
+                refused = checked.where("reason is not null").orderBy("seq").limit(MOST_ERRORS + 1)
+                errors = [f"{r['reason']} (at {r['t']})" for r in refused.select("reason", "t").collect()]
+                if len(errors) > MOST_ERRORS:
+                    errors = [*errors[: MOST_ERRORS - 1], "... further errors suppressed"]
             if batch is not None:
                 self._done.append(batch)
             if block or batch is not None:
                 self.blocks += [block] if block else []
                 self._publish()
-            fs, p = self._fs(staged)
-            fs.delete(p, True)
-            return Written(counts[0], counts[1], errors)
+            return Written(counts["good"], counts["bad"], errors)
 
     def write_request(self, body: bytes) -> Written:
         """Store one request body. A series without samples adds nothing, as in a batch."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import embedding_dedup, langid, ngram_join, packing, quality, secrets, sentencepieces, suffix_dedup, token_counts, token_files
 from .common import shared_folder, stored, table
+from .oracles import ORACLE_SQL
 
 
 def vocabulary(name: str) -> str:
@@ -91,4 +92,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_join": op10_ngram_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "vocabulary"]

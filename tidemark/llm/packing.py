@@ -4,7 +4,8 @@ Documents longer than the capacity are cut into full pieces and a rest; no other
 groups of bounded size, each packed by best-fit decreasing. Dual-feasible functions give a lower bound on the bins of each
 group and of all pieces together (from the counts by length, at most `capacity` of them). While there are more bins than
 the bound over all, the pieces of bins with room left are exchanged: dealt anew to fewer groups and packed again, until the
-bound is met or a single group was packed. A round's outcome is kept only if it has no more bins than before.
+bound is met or a single group was packed; then with a bounded share of the full bins too. A round's outcome is kept only if
+it has no more bins than before.
 
 Nulls, empties, ties: pieces of any length from 1 to the capacity are packed, none is lost; ties are broken by doc_id and
 piece, and repeated rows are pieces of their own. An empty table gives an empty result.
@@ -28,6 +29,8 @@ CAPACITY = 2048
 GROUP = 4096
 #: The groups shrink in number by this much each round.
 SHRINK = 16
+#: Attempts to save the last bins, each with this many groups' pieces in one task.
+TRIES, WIDE = 3, 4
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, style: str = "word", end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
@@ -155,4 +158,18 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
     result = now
     for part in done:
         result = result.unionByName(part)
+    # the last few bins: those with room left once more, together with other bins of many pieces
+    total_bins = bins + settled
+    for salt in range(TRIES):
+        if total_bins <= bound:
+            break
+        share = F.pmod(F.xxhash64("sequence_id", F.lit(salt)), F.lit(max(1, math.ceil(total / (WIDE * group))))) == 0
+        pick = (F.col("length") < capacity) & ((F.col("level") < capacity) | share)
+        was = tally(result.where(pick))[0]
+        round_ += 1
+        again = stored(packed(result.where(pick).select(*names), 1, round_))
+        got = tally(again)[0]
+        if got < was:
+            result = result.where(~pick).unionByName(again)
+            total_bins -= was - got
     return result

@@ -218,6 +218,8 @@ def test_sentencepiece_folds(spark, model):
     score = lambda ids: sum(pieces.scores.get(pieces.texts[i], -1e6) for i in ids)
     for w in some:
         assert score(best[w]) == pytest.approx(score(sentencepieces.viterbi_word(w, pieces)))
+    for w in [*some, "▁" + "".join(rng.choice("abcdelnt") for _ in range(300))]:
+        assert sentencepieces._merged_short(w, pieces.scores) == sentencepieces._merged_long(w, pieces.scores)
     assert any(best[w] != merged[w] for w in some)  # why BPE models need the other fold
 
 

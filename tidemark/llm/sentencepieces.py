@@ -11,9 +11,9 @@ equi-joined to the piece table, and grouped by word; a fold with Spark's higher-
 
 Characters in no piece become the byte pieces of their UTF-8 bytes.
 
-The words of a corpus are too many to join each occurrence with its ids by a shuffle (see README), so the lattice of the
-COMMON most frequent words (by counts over the whole corpus; a bounded table) is folded once in Spark and broadcast, and
-other words are folded where they stand, by the same rule. The ids are the same either way.
+The words of a corpus are too many to join each occurrence with its ids by a shuffle (see README), so the lattice of the most
+frequent words (COMMON at most, by counts over the whole corpus) is folded once in Spark and broadcast, and other words are
+folded where they stand, by the same rule. The ids are the same either way.
 
 Nulls, empties, ties: a null or empty text has no id and decodes to the empty text. Equal scores go to the leftmost pair.
 Repeated rows are encoded alike. Other columns are ignored.
@@ -70,9 +70,48 @@ def words(text: str) -> list[str]:
     return _WORD.findall(BLANK + text.replace(" ", BLANK)) if text else []
 
 
+def keys(text: str) -> list[str]:
+    """The words of a text without the blank's sign where they have just one; with it where they have more."""
+    if not text:
+        return []
+    if "  " not in text and BLANK not in text and text[0] != " " and text[-1] != " ":
+        return text.split(" ")
+    return [w if w[1:2] == BLANK else w[1:] for w in words(text)]
+
+
+def word_of(key: str) -> str:
+    return key if key.startswith(BLANK) else BLANK + key
+
+
 def merge_word(word: str, pieces: Pieces) -> list[int]:
-    """Ids of a word by best merge first, leftmost among equals, with a heap: any length."""
-    n, scores = len(word), pieces.scores
+    """Ids of a word by best merge first, leftmost among equals."""
+    segments = _merged_short(word, pieces.scores) if len(word) <= 64 else _merged_long(word, pieces.scores)
+    out = []
+    for x in segments:
+        if (i := pieces.ids.get(x)) is None:
+            out += [pieces.bytes[b] for b in x.encode()]
+        else:
+            out.append(i)
+    return out
+
+
+def _merged_short(word: str, scores: dict[str, float]) -> list[str]:
+    segments, none = list(word), float("-inf")
+    pairs = [scores.get(a + b, none) for a, b in zip(segments[:-1], segments[1:], strict=True)]
+    while pairs and (best := max(pairs)) > none:
+        k = pairs.index(best)
+        segments[k : k + 2] = [segments[k] + segments[k + 1]]
+        del pairs[k]
+        if k:
+            pairs[k - 1] = scores.get(segments[k - 1] + segments[k], none)
+        if k < len(pairs):
+            pairs[k] = scores.get(segments[k] + segments[k + 1], none)
+    return segments
+
+
+def _merged_long(word: str, scores: dict[str, float]) -> list[str]:
+    """With a heap, for words of any length."""
+    n = len(word)
     ends, starts, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
     heap = [(-s, k, k + 2) for k in range(n - 1) if (s := scores.get(word[k : k + 2])) is not None]
     heapq.heapify(heap)
@@ -89,8 +128,7 @@ def merge_word(word: str, pieces: Pieces) -> list[int]:
             heapq.heappush(heap, (-s, p, e))
     out, k = [], 0
     while k < n:
-        piece = word[k : ends[k]]
-        out += [pieces.ids[piece]] if piece in pieces.ids else [pieces.bytes[x] for x in piece.encode()]
+        out.append(word[k : ends[k]])
         k = ends[k]
     return out
 
@@ -179,17 +217,30 @@ def fold_words(word_rows: DataFrame, pieces: Pieces, fold=merge_ids) -> DataFram
 
 
 def common_words(docs: DataFrame, n: int = COMMON) -> DataFrame:
-    """Rows (word) of the n most frequent words, counted over all documents; ties by the word."""
+    """Rows (word) of the most frequent words, n at most, counted over all documents.
+
+    The least count taken is read off a histogram of counts (sixteen steps to an octave), so no task sorts or gathers words.
+    """
 
     def count(batches: Batches) -> Batches:
         from collections import Counter
 
         for batch in batches:
-            seen = Counter(w for t in texts_of(batch.column(0)) for w in words(t) if len(w) <= LONGEST_WORD)
-            yield pa.record_batch([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-
-    counts = docs.select(F.col("text").cast("string")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return counts.orderBy(F.col("n").desc(), "word").limit(n).select("word")
+            seen: Counter = Counter()
+            for t in texts_of(batch.column(0)):
+                seen.update(keys(t))
+            yield pa.record_batch([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["key", "n"])
+
+    counts = docs.select(F.col("text").cast("string")).mapInArrow(count, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = stored(counts.where((F.col("n") > 1) & (F.length("key") < LONGEST_WORD)).select("key", F.floor(16 * F.log2(F.col("n").cast("double"))).alias("step")))
+    least, total = None, 0
+    for r in sorted(counts.groupBy("step").count().collect(), key=lambda r: -r["step"]):  # some hundred rows
+        total += r["count"]
+        if total > n:
+            break
+        least = r["step"]
+    rows = counts.where(F.col("step") >= least) if least is not None else counts.limit(0)
+    return rows.select(F.when(F.col("key").startswith(BLANK), F.col("key")).otherwise(F.concat(F.lit(BLANK), "key")).alias("word"))
 
 
 def encode(docs: DataFrame, path: str, common: int = COMMON) -> DataFrame:
@@ -197,15 +248,15 @@ def encode(docs: DataFrame, path: str, common: int = COMMON) -> DataFrame:
     spark = prepare(docs.sparkSession)
     pieces = Pieces.load(path)
     rows = stored(fold_words(common_words(docs, common), pieces)).toArrow()  # `common` rows at most
-    known = {w: np.array([pieces.bytes[-1 - i] if i < 0 else i for i in ids], "<u4").tobytes() for w, ids in zip(rows.column("word").to_pylist(), rows.column("ids").to_pylist(), strict=True)}
+    known = {(w if w[1:2] == BLANK else w[1:]): np.array([pieces.bytes[-1 - i] if i < 0 else i for i in ids], "<u4").tobytes() for w, ids in zip(rows.column("word").to_pylist(), rows.column("ids").to_pylist(), strict=True)}
     held = spark.sparkContext.broadcast((pieces, known))
 
     def run(batches: Batches) -> Batches:
         pieces, known = held.value
 
         class Words(dict):
-            def __missing__(self, word: str) -> bytes:
-                self[word] = ids = np.array(merge_word(word, pieces), "<u4").tobytes()
+            def __missing__(self, key: str) -> bytes:
+                self[key] = ids = np.array(merge_word(word_of(key), pieces), "<u4").tobytes()
                 return ids
 
         here = Words(known)
@@ -213,7 +264,7 @@ def encode(docs: DataFrame, path: str, common: int = COMMON) -> DataFrame:
             if len(here) > len(known) + MOST_KEPT:
                 here = Words(known)
             texts = texts_of(batch.column(1))
-            ids = [b"".join(map(here.__getitem__, words(t))) for t in texts]
+            ids = [b"".join(map(here.__getitem__, keys(t))) for t in texts]
             yield pa.record_batch([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_pieces", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_pieces long, ids binary")

@@ -39,11 +39,11 @@ def instant(samples: DataFrame, matchers: Iterable[Matcher], grid: Grid, lookbac
     """Rows (ts, labels, v): at each step the newest sample of each series that is lookback old at most, both ends included."""
     rows = matching(between(samples, grid.start - lookback - offset, grid.end - offset), matchers)
     first = F.greatest(F.lit(0).cast("long"), ceil_div(F.col("t") + F.lit(offset - grid.start).cast("long"), grid.step))
-    newest = rows.select("labels", "t", "v", first.alias("k")).groupBy("labels", "k").agg(F.max_by(F.struct("t", "v"), "t").alias("s"))
+    newest = rows.select("labels", "t", "v", first.alias("k")).groupBy("labels", "k").agg(F.max("t").alias("t"), F.max_by("v", "t").alias("v"))
     after = F.lead("k").over(Window.partitionBy("labels").orderBy("k"))
-    until = floor_div(F.col("s.t") + F.lit(lookback + offset - grid.start).cast("long"), grid.step)
+    until = floor_div(F.col("t") + F.lit(lookback + offset - grid.start).cast("long"), grid.step)
     until = F.least(until, F.coalesce(after - 1, F.lit(grid.last).cast("long")))
-    served = newest.select("labels", F.col("s.v").alias("v"), "k", until.alias("last")).where("k <= last")
+    served = newest.select("labels", "v", "k", until.alias("last")).where("k <= last")
     return served.select("labels", "v", F.explode(F.sequence("k", "last")).alias("k")).select(grid.time(F.col("k")).alias("ts"), "labels", "v")
 
 

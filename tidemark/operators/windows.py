@@ -33,22 +33,22 @@ def window_function(name: str, samples: DataFrame, matchers: Iterable[Matcher],
     window = summaries.select("labels", "p", *[c for c in summaries.columns if c not in ("labels", "p")], step.alias("k"))
     ts = grid.time(F.col("k"))
     if name in ("rate", "increase", "delta"):
-        first, last, n = F.min_by("first", "p"), F.max_by("last", "p"), F.sum("n")
+        ends = [F.min("t0").alias("t0"), F.min_by("v0", "p").alias("v0"), F.max("t1").alias("t1"), F.max_by("v1", "p").alias("v1"), F.sum("n").alias("n")]
         extra = [] if name == "delta" else [(F.sum("inside") + F.sum("joint") - F.min_by("joint", "p")).alias("added")]
-        merged = window.groupBy("labels", "k").agg(first.alias("first"), last.alias("last"), n.alias("n"), *extra).where("n >= 2")
-        change = F.col("last.v") - F.col("first.v") + (F.lit(0.0) if name == "delta" else F.col("added"))
-        v = extrapolated(change, ts, F.col("first.t"), F.col("last.t"), F.col("n"), width, offset)
+        merged = window.groupBy("labels", "k").agg(*ends, *extra).where("n >= 2")
+        change = F.col("v1") - F.col("v0") + (F.lit(0.0) if name == "delta" else F.col("added"))
+        v = extrapolated(change, ts, F.col("t0"), F.col("t1"), F.col("n"), width, offset)
         if name == "rate":
             v = v / F.lit(width / 1000)
         return merged.select(ts.alias("ts"), "labels", v.alias("v"))
     if name in ("irate", "idelta"):
-        merged = window.groupBy("labels", "k").agg(F.max_by(F.struct("last", "before"), "p").alias("e"), F.sum("n").alias("n")).where("n >= 2")
-        now, was = F.col("e.last"), F.col("e.before")
-        change = now["v"] - was["v"]
+        last = [F.max("t1").alias("t1"), *[F.max_by(c, "p").alias(c) for c in ("v1", "bt", "bv")], F.sum("n").alias("n")]
+        merged = window.groupBy("labels", "k").agg(*last).where("n >= 2")
+        change = F.col("v1") - F.col("bv")
         if name == "idelta":
             return merged.select(ts.alias("ts"), "labels", change.alias("v"))
-        gone = F.when(COMPARE["<"](change, number(0)), now["v"]).otherwise(change)
-        return merged.select(ts.alias("ts"), "labels", (gone / ((now["t"] - was["t"]) / 1000.0)).alias("v"))
+        gone = F.when(COMPARE["<"](change, number(0)), F.col("v1")).otherwise(change)
+        return merged.select(ts.alias("ts"), "labels", (gone / ((F.col("t1") - F.col("bt")) / 1000.0)).alias("v"))
     return window.groupBy("labels", "k").agg(_MERGED[name]().cast("double").alias("v")).select(ts.alias("ts"), "labels", "v")
 
 
@@ -62,50 +62,40 @@ def extrapolated(change: Column, ts: Column, first: Column, last: Column, n: Col
     return change * ((span + near(to_start) + near(to_end)) / span)
 
 
+def _ends() -> list[Column]:
+    """Number of samples, first and last sample of a pane. Plain numbers, which Spark aggregates by hashing, without a sort."""
+    return [F.count(F.lit(1)).alias("n"), F.min("t").alias("t0"), F.min_by("v", "t").alias("v0"), F.max("t").alias("t1"), F.max_by("v", "t").alias("v1")]
+
+
 def _plain(rows: DataFrame) -> DataFrame:
-    sample = F.struct("t", "v")
-    return rows.groupBy("labels", "p").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("v").alias("sum"),
-        smallest(F.col("v")).alias("least"),
-        largest(F.col("v")).alias("most"),
-        F.min_by(sample, "t").alias("first"),
-        F.max_by(sample, "t").alias("last"),
-    )
+    return rows.groupBy("labels", "p").agg(*_ends(), F.sum("v").alias("sum"), smallest(F.col("v")).alias("least"), largest(F.col("v")).alias("most"))
 
 
 def _with_neighbours(rows: DataFrame) -> DataFrame:
-    """Summaries (n, first, last, before, inside, joint, ...): `inside` from pairs in the pane, `joint` from the pair with the pane before."""
+    """Summaries with the sample before the last one (bt, bv), and of falls and changes: `*_in` and `inside` from pairs in the
+    pane, `*_at` and `joint` from the pair with the pane before."""
     order = Window.partitionBy("labels", "p").orderBy("t")
-    pairs = rows.withColumn("was", F.lag(F.struct("t", "v")).over(order))
-    joined = F.col("was").isNotNull()
-    fell, moved = _pair(F.col("was.v"), F.col("v"))
-    sample = F.struct("t", "v")
+    pairs = rows.withColumn("wt", F.lag("t").over(order)).withColumn("wv", F.lag("v").over(order))
+    joined = F.col("wt").isNotNull()
+    fell, moved = _pair(F.col("wv"), F.col("v"))
     each = pairs.groupBy("labels", "p").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min_by(sample, "t").alias("first"),
-        F.max_by(sample, "t").alias("last"),
-        F.max_by("was", "t").alias("before_in"),
-        F.sum(F.when(joined & fell, F.col("was.v")).otherwise(0.0)).alias("inside"),
+        *_ends(),
+        F.max("wt").alias("bt_in"),
+        F.max_by("wv", "t").alias("bv_in"),
+        F.sum(F.when(joined & fell, F.col("wv")).otherwise(0.0)).alias("inside"),
         F.sum((joined & fell).cast("long")).alias("falls_in"),
         F.sum((joined & moved).cast("long")).alias("moves_in"),
     )
     series = Window.partitionBy("labels").orderBy("p")
-    met = each.withColumn("prior", F.lag("last").over(series))
-    fell, moved = _pair(F.col("prior.v"), F.col("first.v"))
-    known = F.col("prior").isNotNull()
+    met = each.withColumn("pt", F.lag("t1").over(series)).withColumn("pv", F.lag("v1").over(series))
+    fell, moved = _pair(F.col("pv"), F.col("v0"))
+    known = F.col("pt").isNotNull()
     return met.select(
-        "labels",
-        "p",
-        "n",
-        "first",
-        "last",
-        F.coalesce("before_in", "prior").alias("before"),
-        "inside",
-        F.when(known & fell, F.col("prior.v")).otherwise(0.0).alias("joint"),
-        "falls_in",
+        *["labels", "p", "n", "t0", "v0", "t1", "v1", "inside", "falls_in", "moves_in"],
+        F.coalesce("bt_in", "pt").alias("bt"),
+        F.when(F.col("bt_in").isNotNull(), F.col("bv_in")).otherwise(F.col("pv")).alias("bv"),
+        F.when(known & fell, F.col("pv")).otherwise(0.0).alias("joint"),
         (known & fell).cast("long").alias("falls_at"),
-        "moves_in",
         (known & moved).cast("long").alias("moves_at"),
     )
 
@@ -121,8 +111,8 @@ _MERGED = {
     "count_over_time": lambda: F.sum("n"),
     "min_over_time": lambda: F.coalesce(F.min("least"), number(INF)),
     "max_over_time": lambda: F.coalesce(F.max("most"), number(-INF)),
-    "first_over_time": lambda: F.min_by("first", "p")["v"],
-    "last_over_time": lambda: F.max_by("last", "p")["v"],
+    "first_over_time": lambda: F.min_by("v0", "p"),
+    "last_over_time": lambda: F.max_by("v1", "p"),
     "resets": lambda: F.sum("falls_in") + F.sum("falls_at") - F.min_by("falls_at", "p"),
     "changes": lambda: F.sum("moves_in") + F.sum("moves_at") - F.min_by("moves_at", "p"),
 }

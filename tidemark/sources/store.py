@@ -87,7 +87,7 @@ def plan_compaction(blocks: list[Block], ladder: tuple[int, ...] = LADDER) -> li
 
 def later_wins(samples: DataFrame, order: str = "seq") -> DataFrame:
     """One row for each series and time: that of the highest order. By partial aggregation, so copies don't meet in one task."""
-    return samples.groupBy("labels", "t").agg(F.max_by(F.struct("metric", "v"), order).alias("x")).select("x.metric", "labels", "t", "x.v")
+    return samples.groupBy("labels", "t").agg(F.first("metric").alias("metric"), F.max_by("v", order).alias("v")).select("metric", "labels", "t", "v")
 
 
 def in_order(samples: DataFrame, newest: DataFrame | None, floor: int, order: str = "seq") -> DataFrame:

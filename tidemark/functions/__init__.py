@@ -1 +1 @@
-"""See the package README section for functions."""
+"""The table of functions and aggregations, and IEEE arithmetic over columns."""

@@ -1 +1 @@
-"""See the package README section for operators."""
+"""Selectors, window functions, aggregations and binary operators over DataFrames of samples."""

@@ -1 +1 @@
-"""See the package README section for plans."""
+"""The compiler from syntax trees to DataFrame plans."""

@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -73,15 +74,36 @@ def drop_stored(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Tasks that form tables of fixed size (counters, bit maps), so that adding up the tasks' tables stays small.
+COUNTING_TASKS = 2048
+_CHUNK_BITS = 1 << 17
+
+
 def bit_map(spark: SparkSession, bits: DataFrame, size: int) -> Broadcast:
     """A broadcast map of `size` bits, those in bits (one column) set: size / 8 bytes whatever the input's size.
 
-    It only spares work: what looks a bit up must be right where too many are set.
+    It only spares work: what looks a bit up must be right where too many are set. Tasks send their parts of the map, which
+    are joined by part; the driver gets the finished parts.
     """
-    found = bits.distinct().toArrow().column(0).to_numpy()  # at most `size` numbers
-    marked = np.zeros(size, bool)
-    marked[found] = True
-    return spark.sparkContext.broadcast(np.packbits(marked))
+
+    def parts(batches: Batches) -> Batches:
+        marked = np.zeros(size, bool)
+        for batch in batches:
+            marked[batch.column(0).to_numpy()] = True
+        chunks = marked.reshape(-1, min(size, _CHUNK_BITS))
+        some = np.flatnonzero(chunks.any(axis=1))
+        yield pa.record_batch([pa.array(some), pa.array([np.packbits(chunks[k]).tobytes() for k in some.tolist()], pa.binary())], ["chunk", "bits"])
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        joined = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in pdf["bits"]])
+        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "bits": [joined.tobytes()]})
+
+    kind = "chunk long, bits binary"
+    found = bits.coalesce(COUNTING_TASKS).mapInArrow(parts, kind).groupBy("chunk").applyInPandas(join, kind).toArrow()
+    packed = np.zeros((max(1, size // _CHUNK_BITS), min(size, _CHUNK_BITS) // 8), np.uint8)
+    for k, x in zip(found.column("chunk").to_pylist(), found.column("bits").to_pylist(), strict=True):
+        packed[k] = np.frombuffer(x, np.uint8)
+    return spark.sparkContext.broadcast(packed.ravel())
 
 
 def has_bit(held: np.ndarray, bit: np.ndarray) -> np.ndarray:
@@ -99,8 +121,19 @@ def partitions_for(df: DataFrame, bytes_each: int) -> int:
     return max(least, math.ceil(text_bytes(df) / bytes_each))
 
 
+#: Tables that operators keep in a Python worker from task to task.
+KEPT: list[dict] = []
+
+
+def spare_memory() -> None:
+    """Empties what other operators have kept in this worker: workers are used again, and their memory adds up."""
+    for kept in KEPT:
+        kept.clear()
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts in one array and the bounds of each; null counts as empty. Nothing is copied."""
+    spare_memory()
     offsets = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_string(column.type) else np.int32)
     offsets = offsets[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = column.buffers()[2]

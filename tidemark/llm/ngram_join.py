@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, bit_map, drop_stored, has_bit, prepare, stored, text_buffers
+from .common import COUNTING_TASKS, Batches, bit_map, drop_stored, has_bit, prepare, stored, text_buffers
 from .graph import components
 from .hashing import U, Rolling, groups, mix
 
@@ -108,7 +108,7 @@ def frequencies(docs: DataFrame, size: int) -> np.ndarray:
         return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "counts": [total.tobytes()]})
 
     kind = "chunk long, counts binary"
-    sums = docs.select("text").mapInArrow(count, kind).groupBy("chunk").applyInPandas(add, kind).toArrow()
+    sums = docs.select("text").coalesce(COUNTING_TASKS).mapInArrow(count, kind).groupBy("chunk").applyInPandas(add, kind).toArrow()
     total = np.zeros((ORDER_BUCKETS // CHUNK, CHUNK), np.int64)
     for k, x in zip(sums.column("chunk").to_pylist(), sums.column("counts").to_pylist(), strict=True):
         total[k] = np.frombuffer(x, np.int64)

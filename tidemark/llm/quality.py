@@ -19,6 +19,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import COUNTING_TASKS
+
 BUCKETS = 1 << 16
 THRESHOLD = -0.25
 MIN_WORDS = 20
@@ -85,7 +87,7 @@ def ratios(docs: DataFrame, trusted: DataFrame) -> Column:
     ids = trusted.select(F.col("doc_id").alias("trusted_id")).where(F.col("trusted_id").isNotNull()).distinct()
     if ids.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         ids = F.broadcast(ids)
-    marked = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("trusted_id"), "left")
+    marked = docs.select("doc_id", "text").coalesce(COUNTING_TASKS).join(ids, F.col("doc_id") == F.col("trusted_id"), "left")
     text = F.coalesce("text", F.lit(""))
     grams = marked.select(F.col("trusted_id").isNotNull().cast("long").alias("t"), F.explode(let(hashes(text), buckets)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, prepare, texts_of
+from .common import COUNTING_TASKS, Batches, prepare, spare_memory, texts_of
 
 BUCKETS = 1 << 14
 #: Bound of the rows that the weights are fitted on.
@@ -138,13 +138,14 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     def frequencies(batches: Batches) -> Batches:
         seen, docs = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
+            spare_memory()
             for text in texts_of(batch.column(0)):
                 seen += ngram_counts(text) > 0
                 docs += 1
         at = np.flatnonzero(seen)
         yield pa.record_batch([pa.array(np.append(at, -1)), pa.array(np.append(seen[at], docs))], ["bucket", "n"])
 
-    found = rows.select("text").mapInArrow(frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    found = rows.select("text").coalesce(COUNTING_TASKS).mapInArrow(frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     n_docs, df = 0, np.zeros(BUCKETS)
     for r in found:  # BUCKETS + 1 rows at most
         if r["bucket"] < 0:
@@ -197,6 +198,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", language: str =
 
     def predict(batches: Batches) -> Batches:
         for batch in batches:
+            spare_memory()
             found = [held.value.predict(t) for t in batch.column(at).to_pylist()]
             columns = [*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.record_batch(columns, [*batch.schema.names, language, score])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Batches, prepare
+from .common import Batches, prepare, spare_memory
 
 # fixed values: the patterns
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -301,6 +301,7 @@ def scan(docs: DataFrame, field: Field, text: str = "text", spans: str = "secret
 
     def found(batches: Batches) -> Batches:
         for batch in batches:
+            spare_memory()
             rows = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in find(t, held.value)] for t in batch.column(at).to_pylist()]
             yield pa.record_batch([*batch.columns, pa.array(rows, kind)], [*batch.schema.names, spans])
 
@@ -324,6 +325,7 @@ def redact(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
 
     def replace(batches: Batches) -> Batches:
         for batch in batches:
+            spare_memory()
             columns = list(batch.columns)
             columns[at] = pa.array([t if t is None else redacted(t, held.value) for t in batch.column(at).to_pylist()], pa.string())
             yield pa.record_batch(columns, batch.schema.names)

@@ -12,6 +12,8 @@ import re
 
 import numpy as np
 
+from .common import KEPT
+
 _UNKNOWN = re.compile("[^\n -~¡-˿Ͱ-ᙿ]")
 _PLAIN_PART = re.compile(" ?[!-~¡-˿Ͱ-ᙿ]+|\n")
 #: Parts encoded in one call.
@@ -106,10 +108,13 @@ class CachedEncoder:
 
 
 _ENCODERS: dict[tuple[str, str], CachedEncoder] = {}
+#: Parts kept in a worker; fewer where packing shares its workers with the pipeline's other stages.
+_MOST = {"byte": 800_000, "word": 600_000}
 
 
 def encoder(path: str, style: str) -> CachedEncoder:
     """The worker's own encoder, kept from task to task."""
     if (path, style) not in _ENCODERS:
-        _ENCODERS[path, style] = CachedEncoder(path, style)
+        _ENCODERS[path, style] = CachedEncoder(path, style, _MOST[style])
+        KEPT.append(_ENCODERS[path, style].known)
     return _ENCODERS[path, style]

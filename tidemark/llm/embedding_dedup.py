@@ -7,7 +7,7 @@ pair counts in the smallest bucket that they share, so once. Buckets of more tha
 meet in pairs, each in one task: none is skipped or cut. No pair is returned, but each vector's number of links and
 a spanning forest of them. Equal vectors are one node with a multiplicity.
 
-Measured with 64 dimensions at cosine 0.95, the least that links: 0.9998 of the pairs share a bucket.
+Measured with 64 dimensions at cosine 0.95, the least that links: all of 4,000 random pairs shared a bucket.
 
 Nulls, empties, ties: vectors that are null, empty, zero, or hold a null or a number that is not finite link with nothing.
 Vectors of other lengths never link. Rows that repeat a vec_id count as one vector. Rows without a vec_id take part in no

@@ -3,7 +3,8 @@
 1. language_id: documents without a letter go, and those whose best language is hardly likelier than chance: a calibrated
    probability under MIN_SCORE, or under MIN_RATIO times one out of the number of languages if that is less. The model learns
    from the stage's own labelled documents, as op1 does; without any label only documents without a letter go.
-2. ngram_join: of each group of linked documents the one with the smallest doc_id stays; of equal rows one stays.
+2. ngram_join: documents whose sets of SHINGLE-word shingles have a similarity of PERCENT / 100 or more are linked; of each
+   group of linked documents the one with the smallest doc_id stays; of equal rows one stays.
 3. suffix_dedup: byte strings that start elsewhere too are cut out; documents that lose all their bytes go.
 4. secret_scan: secrets are replaced by a mask.
 5. best_fit_packing: the documents' tokens in sequences of at most 2048.
@@ -23,6 +24,8 @@ from tidemark.llm.common import fresh, prepare, stored, table
 from tidemark.llm.queries import vocabulary
 
 MIN_SCORE, MIN_RATIO = 0.5, 1.2
+#: Of the near-duplicate stage; op10's contract has its own.
+SHINGLE, PERCENT = 5, 80
 
 
 def _with_length(docs: DataFrame) -> DataFrame:
@@ -47,7 +50,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    rows = ngram_join.join(docs.select("doc_id", "text"))
+    rows = ngram_join.join(docs.select("doc_id", "text"), size=SHINGLE, percent=PERCENT)
     others = rows.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 

@@ -259,6 +259,15 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "ngram_join", "suffix_dedup", "secret_scan", "best_fit_packing"]
 
 
+def test_pipeline_links_five_word_shingles_from_four_fifths(spark):
+    rows = []
+    for n in (50, 49, 48):  # similarity 41/51, 40/50 and 39/49; by four words all are under 0.85
+        words = [f"w{n}x{k}" for k in range(n)]
+        rows += [" ".join(words), " ".join([*words[:20], "other", *words[21:]])]
+    kept = dict(corpus_pipeline.STAGES)["ngram_join"](spark, docs(spark, rows), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 4, 5]
+
+
 def test_pipeline_stages_on_awkward_and_empty_tables(spark):
     for df in (docs(spark, awkward(), extra=True), docs(spark, []).limit(0)):
         for name, stage in corpus_pipeline.STAGES:

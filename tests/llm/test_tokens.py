@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 from tests.llm.cases import awkward, docs, sentence
 
 from tidemark.llm import packing, queries, token_counts, token_files
@@ -47,6 +48,24 @@ def test_cached_ids_of_any_text(text):
 CODERS: dict = {}
 
 
+@pytest.mark.parametrize("style,name", [("byte", BYTE), ("word", WORD)])
+def test_added_tokens_are_the_unaltered_librarys(style, name):
+    fresh, coder = Tokenizer.from_file(vocabulary(name)), CachedEncoder(vocabulary(name), style)
+    ids = lambda t: fresh.encode(t, add_special_tokens=False).ids
+    texts = ["one two <|endoftext|> three", "<|endoftext|>", "a<|endoftext|>b <|startoftext|>.\n<|endoftext|>\nc, 0 d", "x <|ENDOFTEXT|> <|endof text|>", "  <|endoftext|>  é 日本 "]
+    for t, got in zip([*ODD, *texts], coder.encode([*ODD, *texts]), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == ids(t), t
+    if style == "byte":
+        for t in texts:
+            for cut in (None, coder.parts(t)):
+                tree = token_counts.CountTree(t, coder, cut)
+                assert tree.total == len(ids(t))
+            for start, end, new in ((0, 1, "<|endoftext|> y"), (4, 7, "<|endof"), (3, 3, "<|endoftext|>"), (len(t), len(t), " z<|endoftext|>")):
+                tree = token_counts.CountTree(t, coder)
+                tree.edit(start, end, new)
+                assert (tree.text, tree.total) == (t[:start] + new + t[end:], len(ids(t[:start] + new + t[end:])))
+
+
 def test_token_files_round_trip(spark, coders, tmp_path):
     rows = awkward()
     path = f"file://{tmp_path}/files"

@@ -2,7 +2,8 @@
 
 Both supported tokenizers split a text before they merge, and never merge over a split. Where a text is made
 of known characters only, it can be cut at those splits beforehand (single blanks and line feeds between
-visible characters), and each distinct part encoded once. Any other text is encoded whole.
+visible characters), and each distinct part encoded once. Any other text is encoded whole, and so is one that holds an
+added token such as <|endoftext|>, which gives that token's own id, as the library does.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.style, self.max_parts, self.known = style, max_parts, {}
         self.ends = {c: self._ids([c])[0].tobytes() for c in ",."}
         if style == "byte":
@@ -47,7 +48,7 @@ class CachedEncoder:
 
     def parts(self, text: str) -> list[str] | None:
         """The text's parts, encoded apart; None: the text has to be encoded whole."""
-        if _UNKNOWN.search(text):
+        if _UNKNOWN.search(text) or any(t in text for t in self.added):
             return None
         if self.style == "word":
             return text.split()

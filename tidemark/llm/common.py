@@ -6,10 +6,9 @@ import math
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -49,9 +48,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session without it gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -67,18 +68,42 @@ def stored(df: DataFrame) -> DataFrame:
 
 def drop_stored(df: DataFrame) -> None:
     """Delete the files behind a stored() frame that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, folder)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Tasks that form tables of fixed size (counters, bit maps), so that adding up the tasks' tables stays small.
-COUNTING_TASKS = 2048
+#: Sums over tasks are formed in this many parts first, so that no task adds up the tables of all tasks.
+SPREAD_SUMS = 64
 _CHUNK_BITS = 1 << 17
 
 
+def added_up(tables: DataFrame, value: str, add: Callable[[list[np.ndarray]], np.ndarray], kind: type) -> dict[int, np.ndarray]:
+    """Joins the tables of tasks, rows (chunk, value: binary), chunk by chunk; tasks of the scan stay as they are.
+
+    In two levels: the tasks' rows of a chunk are joined in SPREAD_SUMS parts by the task's number, then these. A joining task
+    holds one array and a batch of rows. The finished chunks, of which there is a fixed number, come to the driver.
+    """
+
+    def join(batches: Batches) -> Batches:
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for chunk, part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                new = np.frombuffer(raw.as_buffer(), kind)
+                held[chunk, part] = add([held[chunk, part], new]) if (chunk, part) in held else new.copy()
+        yield pa.record_batch([pa.array([c for c, _ in held], pa.int64()), pa.array([p for _, p in held], pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["chunk", "part", value])
+
+    sql = f"chunk long, part long, {value} binary"
+    rows = tables.select("chunk", F.pmod(F.spark_partition_id(), F.lit(SPREAD_SUMS)).cast("long").alias("part"), value)
+    rows = rows.repartition("chunk", "part").mapInArrow(join, sql).withColumn("part", F.lit(0).cast("long"))
+    found = rows.repartition("chunk").mapInArrow(join, sql).toArrow()
+    return {c: np.frombuffer(x, kind) for c, x in zip(found.column("chunk").to_pylist(), found.column(value).to_pylist(), strict=True)}
+
+
 def bit_map(spark: SparkSession, bits: DataFrame, size: int) -> Broadcast:
     """A broadcast map of `size` bits, those in bits (one column) set: size / 8 bytes whatever the input's size.
 
@@ -94,15 +119,9 @@ def bit_map(spark: SparkSession, bits: DataFrame, size: int) -> Broadcast:
         some = np.flatnonzero(chunks.any(axis=1))
         yield pa.record_batch([pa.array(some), pa.array([np.packbits(chunks[k]).tobytes() for k in some.tolist()], pa.binary())], ["chunk", "bits"])
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        joined = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in pdf["bits"]])
-        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "bits": [joined.tobytes()]})
-
-    kind = "chunk long, bits binary"
-    found = bits.coalesce(COUNTING_TASKS).mapInArrow(parts, kind).groupBy("chunk").applyInPandas(join, kind).toArrow()
     packed = np.zeros((max(1, size // _CHUNK_BITS), min(size, _CHUNK_BITS) // 8), np.uint8)
-    for k, x in zip(found.column("chunk").to_pylist(), found.column("bits").to_pylist(), strict=True):
-        packed[k] = np.frombuffer(x, np.uint8)
+    for k, x in added_up(bits.mapInArrow(parts, "chunk long, bits binary"), "bits", np.bitwise_or.reduce, np.uint8).items():
+        packed[k] = x
     return spark.sparkContext.broadcast(packed.ravel())
 
 

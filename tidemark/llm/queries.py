@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import embedding_dedup, langid, ngram_join, packing, quality, secrets, sentencepieces, suffix_dedup, token_counts, token_files
-from .common import shared_folder, stored, table
+from .common import delete, drop_stored, shared_folder, stored, table
 from .oracles import ORACLE_SQL
 
 
@@ -54,12 +54,16 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
     rows = token_files.read_token_files(spark, path)
-    return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    out = stored(rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")))
+    delete(spark, path)
+    return out
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = stored(packing.token_pieces(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
-    return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    packed = packing.pack(pieces)
+    drop_stored(pieces)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +72,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("spans")
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,9 +11,15 @@ equi-joined to the piece table, and grouped by word; a fold with Spark's higher-
 
 Characters in no piece become the byte pieces of their UTF-8 bytes.
 
-The words of a corpus are too many to join each occurrence with its ids by a shuffle (see README), so the lattice of the most
-frequent words (COMMON at most, by counts over the whole corpus) is folded once in Spark and broadcast, and other words are
-folded where they stand, by the same rule. The ids are the same either way.
+How it runs, with no occurrence of a word shuffled and nothing broadcast but the piece table:
+
+1. Each task of the scan is a part: its different words go out once, and its texts, compressed, in bundles of BUNDLE bytes.
+2. The words of all parts are made distinct, go through the lattice and the fold, and come back as (word, ids).
+3. Each part gets the ids of its words back by an equi-join, and its bundles are spelled out from them. A part of very many
+   bytes is several parts, so what meets in one task is bounded by PART bytes of text.
+
+A word of more than LONGEST_WORD characters (a run without any blank) is folded where it stands by the same rule with a heap, as
+the fold's steps and the lattice's rows grow with the square of its length.
 
 Nulls, empties, ties: a null or empty text has no id and decodes to the empty text. Equal scores go to the leftmost pair.
 Repeated rows are encoded alike. Other columns are ignored.
@@ -23,6 +29,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,14 +37,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Batches, prepare, stored, texts_of
+from .common import Batches, drop_stored, prepare, stored, texts_of
 
 BLANK = "▁"
-COMMON = 1 << 16
-#: Words of the lattice are folded in Spark up to this length; longer ones where they stand.
-LONGEST_WORD = 48
-#: Ids of words kept in a worker.
-MOST_KEPT = 400_000
+#: Words go through the lattice up to this length.
+LONGEST_WORD = 64
+#: Bytes of text in a part, whose words' ids meet in one task, and in a bundle of texts.
+PART, BUNDLE = 32 << 20, 1 << 20
 _WORD = re.compile(f"{BLANK}+[^{BLANK}]*")
 
 
@@ -168,19 +174,35 @@ def lattice(word_rows: DataFrame, table: DataFrame, longest: int) -> DataFrame:
     return joined.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def merge_ids(edges: Column, n: Column) -> Column:
     """(start, end) of a word's segments by best merge first; a fold with at most n - 1 steps."""
+    place = lambda start, end: start * 1024 + end
     none = F.struct(F.lit(-1e300).alias("score"), F.lit(0).alias("at"))
+    scores = F.map_from_entries(F.transform(F.filter(edges, lambda x: (x["id"] >= 0) & (x["end"] > x["start"] + 1)), lambda x: F.struct(place(x["start"], x["end"]), x["score"])))
 
-    def step(cuts: Column) -> Column:
+    def step(cuts: Column, known: Column) -> Column:
         """Cuts between segments without the one whose removal joins the best-scored pair."""
-        inner = F.sequence(F.lit(1), F.size(cuts) - 2)
-        scored = F.transform(inner, lambda k: F.struct(F.coalesce(F.try_element_at(F.transform(F.filter(edges, lambda x: (x["start"] == F.get(cuts, k - 1)) & (x["end"] == F.get(cuts, k + 1)) & (x["id"] >= 0)), lambda x: x["score"]), F.lit(1)), F.lit(-1e300)).alias("score"), F.get(cuts, k).alias("at")))
+        inner = F.slice(cuts, F.lit(2), F.size(cuts) - 2)
+        scored = F.transform(inner, lambda at, k: F.struct(F.coalesce(F.try_element_at(known, place(F.get(cuts, k), F.get(cuts, k + 2))), F.lit(-1e300)).alias("score"), at.alias("at")))
         best = F.aggregate(scored, none, lambda a, x: F.when(x["score"] > a["score"], x).otherwise(a))
-        return F.when(F.size(cuts) < 3, cuts).otherwise(F.get(F.transform(F.array(best), lambda b: F.when(b["score"] > -1e300, F.array_remove(cuts, b["at"])).otherwise(cuts)), F.lit(0)))
+        return let(best, lambda b: F.when(b["score"] > -1e300, F.array_remove(cuts, b["at"])).otherwise(F.slice(cuts, F.lit(1), F.size(cuts))))
+
+    def state(cuts: Column, done: Column) -> Column:
+        return F.struct(cuts.alias("cuts"), done.alias("done"))
 
-    cuts = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), F.sequence(F.lit(0), n), lambda c, _: step(c))
-    return F.get(F.transform(F.array(cuts), lambda c: F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda a, k: F.struct(a.alias("start"), F.get(c, k + 1).alias("end")))), F.lit(0))
+    def turn(now: Column, known: Column) -> Column:
+        """Once a step changes nothing the rest of the fold's turns do nothing."""
+        stop = now["done"] | (F.size(now["cuts"]) < 3)
+        return F.when(stop, now).otherwise(let(step(now["cuts"], known), lambda c: state(c, F.size(c) == F.size(now["cuts"]))))
+
+    first = state(F.sequence(F.lit(0), n), F.lit(False))
+    folded = let(scores, lambda known: F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), first, lambda now, _: turn(now, known)))
+    return let(folded["cuts"], lambda c: F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda a, k: F.struct(a.alias("start"), F.get(c, k + 1).alias("end"))))
 
 
 def viterbi_ids(edges: Column, n: Column) -> Column:
@@ -216,58 +238,110 @@ def fold_words(word_rows: DataFrame, pieces: Pieces, fold=merge_ids) -> DataFram
     return segments.select("word", F.flatten(F.transform(texts, lambda x: F.when(x["id"] >= 0, F.array(x["id"])).otherwise(raw(x["text"])))).alias("ids"))
 
 
-def common_words(docs: DataFrame, n: int = COMMON) -> DataFrame:
-    """Rows (word) of the most frequent words, n at most, counted over all documents.
+def _bundle(ids: list, texts: list[str]) -> bytes:
+    """Some rows, compressed: doc_ids (null as such) and texts."""
+    import zstandard
 
-    The least count taken is read off a histogram of counts (sixteen steps to an octave), so no task sorts or gathers words.
-    """
+    table = pa.record_batch([pa.array(ids, pa.int64()), pa.array(texts, pa.large_string())], ["doc_id", "text"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_batch(table)
+    return zstandard.ZstdCompressor(level=1).compress(sink.getvalue())
 
-    def count(batches: Batches) -> Batches:
-        from collections import Counter
 
-        for batch in batches:
-            seen: Counter = Counter()
-            for t in texts_of(batch.column(0)):
-                seen.update(keys(t))
-            yield pa.record_batch([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["key", "n"])
-
-    counts = docs.select(F.col("text").cast("string")).mapInArrow(count, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    counts = stored(counts.where((F.col("n") > 1) & (F.length("key") < LONGEST_WORD)).select("key", F.floor(16 * F.log2(F.col("n").cast("double"))).alias("step")))
-    least, total = None, 0
-    for r in sorted(counts.groupBy("step").count().collect(), key=lambda r: -r["step"]):  # some hundred rows
-        total += r["count"]
-        if total > n:
-            break
-        least = r["step"]
-    rows = counts.where(F.col("step") >= least) if least is not None else counts.limit(0)
-    return rows.select(F.when(F.col("key").startswith(BLANK), F.col("key")).otherwise(F.concat(F.lit(BLANK), "key")).alias("word"))
-
-
-def encode(docs: DataFrame, path: str, common: int = COMMON) -> DataFrame:
-    """Rows (doc_id, n_pieces, ids binary) of docs (doc_id, text); ids little-endian unsigned 32-bit."""
-    spark = prepare(docs.sparkSession)
-    pieces = Pieces.load(path)
-    rows = stored(fold_words(common_words(docs, common), pieces)).toArrow()  # `common` rows at most
-    known = {(w if w[1:2] == BLANK else w[1:]): np.array([pieces.bytes[-1 - i] if i < 0 else i for i in ids], "<u4").tobytes() for w, ids in zip(rows.column("word").to_pylist(), rows.column("ids").to_pylist(), strict=True)}
-    held = spark.sparkContext.broadcast((pieces, known))
+def _unbundled(raw: bytes) -> tuple[list, list[str]]:
+    import zstandard
 
-    def run(batches: Batches) -> Batches:
-        pieces, known = held.value
+    table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(raw)).read_all()
+    return table.column(0).to_pylist(), table.column(1).to_pylist()
+
+
+def _parts(batches: Batches) -> Batches:
+    """Rows (part, word, ids, bundle): each different word of a part once, and the part's texts in bundles.
+
+    part numbers the parts of one task; words as keys(); ids is null here.
+    """
 
+    def rows(part: int, words_: list[str], bundles: list[bytes]) -> pa.RecordBatch:
+        n = len(words_) + len(bundles)
+        return pa.record_batch([pa.array(np.full(n, part, np.int64)), pa.array([*words_, *[None] * len(bundles)], pa.string()), pa.array([*[None] * len(words_), *bundles], pa.binary())], ["part", "word", "bundle"])
+
+    part, size, seen = 0, 0, set()
+    ids, texts, held = [], [], 0
+    for batch in batches:
+        for d, t in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
+            found = {w for w in set(keys(t)) - seen if len(w) < LONGEST_WORD}
+            seen |= found
+            if found:
+                yield rows(part, list(found), [])
+            ids.append(d)
+            texts.append(t)
+            held += len(t)
+            size += len(t)
+            if held >= BUNDLE:
+                yield rows(part, [], [_bundle(ids, texts)])
+                ids, texts, held = [], [], 0
+                if size >= PART:
+                    part, size, seen = part + 1, 0, set()
+    if ids:
+        yield rows(part, [], [_bundle(ids, texts)])
+
+
+def encode(docs: DataFrame, path: str) -> DataFrame:
+    """Rows (doc_id, n_pieces, ids binary) of docs (doc_id, text); ids little-endian unsigned 32-bit.
+
+    The rows are in the shared folder, what led to them is deleted.
+    """
+    spark = prepare(docs.sparkSession)
+    pieces = Pieces.load(path)
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    task = F.spark_partition_id().cast("long") * (1 << 24) + F.col("part")
+    every = stored(texts.mapInArrow(_parts, "part long, word string, bundle binary").select(task.alias("part"), "word", "bundle"))
+    own = every.where("word is not null").select("part", "word")
+    marked = F.when(F.col("word").startswith(BLANK), F.col("word")).otherwise(F.concat(F.lit(BLANK), "word"))
+    known = stored(fold_words(own.select(marked.alias("word")).distinct(), pieces)).withColumnsRenamed({"word": "marked", "ids": "found"})
+    raw = F.array(*[F.lit(i) for i in pieces.bytes])
+    spelled = F.transform("found", lambda i: F.when(i < 0, F.get(raw, -1 - i)).otherwise(i))
+    back = own.join(known, marked == F.col("marked")).select("part", "word", spelled.alias("ids"), F.lit(None).cast("binary").alias("bundle"))
+    bundles = every.where("bundle is not null").select("part", F.lit(None).cast("string").alias("word"), F.lit(None).cast("array<int>").alias("ids"), "bundle")
+    held = spark.sparkContext.broadcast(pieces)
+
+    def spell(batches: Batches) -> Batches:
+        """A part's words come before its bundles."""
         class Words(dict):
             def __missing__(self, key: str) -> bytes:
-                self[key] = ids = np.array(merge_word(word_of(key), pieces), "<u4").tobytes()
+                if len(key) < LONGEST_WORD:
+                    raise KeyError(key)
+                self[key] = ids = np.array(merge_word(word_of(key), held.value), "<u4").tobytes()
                 return ids
 
-        here = Words(known)
+        at, words_ = None, Words()
         for batch in batches:
-            if len(here) > len(known) + MOST_KEPT:
-                here = Words(known)
-            texts = texts_of(batch.column(1))
-            ids = [b"".join(map(here.__getitem__, keys(t))) for t in texts]
-            yield pa.record_batch([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_pieces", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_pieces long, ids binary")
+            part, word, bundle = batch.column(0).to_numpy(), batch.column(1), batch.column(3)
+            ids = batch.column(2)
+            offsets, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<u4")
+            texts_at = bundle.is_valid().to_numpy(zero_copy_only=False)
+            bounds = [0, *(np.flatnonzero((part[1:] != part[:-1]) | (texts_at[1:] != texts_at[:-1])) + 1).tolist(), len(part)]
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                if a == b:
+                    continue
+                if part[a] != at:
+                    at, words_ = part[a], Words()
+                if not texts_at[a]:
+                    raw = flat[offsets[a] : offsets[b]].tobytes()
+                    ends = (4 * (offsets[a : b + 1] - offsets[a])).tolist()
+                    words_.update(zip(word.slice(a, b - a).to_pylist(), [raw[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)], strict=True))
+                    continue
+                for k in range(a, b):
+                    docs_, texts_ = _unbundled(bundle[k].as_py())
+                    out = [b"".join(map(words_.__getitem__, keys(t))) for t in texts_]
+                    yield pa.record_batch([pa.array(docs_, pa.int64()), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n_pieces", "ids"])
+
+    ordered = back.unionByName(bundles).repartition("part").sortWithinPartitions("part", F.col("bundle").isNotNull())
+    out = stored(ordered.mapInArrow(spell, "doc_id long, n_pieces long, ids binary"))
+    for old in (every, known):
+        drop_stored(old)
+    return out
 
 
 def decode_ids(ids: np.ndarray, raw: list[bytes]) -> str:

@@ -1,7 +1,7 @@
 """Jaccard join of documents on word n-grams: rare-first prefix filtering, then verification once per pair.
 
 A document's set holds its distinct SHINGLE-word shingles (words: runs of other characters than ASCII white space, A-Z in
-lower case) as 64-bit hashes; a document of fewer words has one shingle of all its words; one without words has none and
+lower case) as 64-bit hashes, which mix 64-bit hashes of the words; a document of fewer words has one shingle of all its words; one without words has none and
 links with nothing. Two documents link when 100 * intersection >= PERCENT * union.
 
 1. Frequencies: all shingles of the corpus are counted in ORDER_BUCKETS hashed counters, of fixed size. Any total order makes
@@ -10,10 +10,12 @@ links with nothing. Two documents link when 100 * intersection >= PERCENT * unio
 3. Prefixes: linked sets of n and m shingles share one of the first n - ceil(n * t) + 1 of each. Shingles in one prefix only
    are dropped.
 4. Shingles in the prefixes of up to HOT nodes: pairs within, by the length filter and the positional filter; each pair once;
-   then the suffix filter (the least sum of counts by bucket, over all shingles, bounds the intersection); then the sets.
+   then the suffix filter: sets are cut in halves by a bit of their hashes, and these again, six times, and the lesser sizes of
+   each two parts bound the intersection; then the sets.
 5. Shingles in more prefixes: among nodes of like size, these shingles are grouped if some node has both, and the nodes of
    each group are dealt to blocks of BLOCK nodes. Each two blocks meet in one task, which verifies all its pairs from the sets and returns a
-   spanning forest of the links, never the pairs. No task holds more than two blocks, and none is skipped.
+   spanning forest of the links, never the pairs. No task holds more than two blocks, and none is skipped. The intersections
+   of all pairs of two blocks are counted at once, so filters of single pairs have nothing to spare there.
 6. Components of the links.
 
 Nulls, empties, ties: null texts are empty. Rows that repeat a doc_id count as one document. Rows without a doc_id take
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import COUNTING_TASKS, Batches, bit_map, drop_stored, has_bit, prepare, stored, text_buffers
+from .common import Batches, added_up, bit_map, drop_stored, has_bit, prepare, stored, text_buffers
 from .graph import components
 from .hashing import U, Rolling, groups, mix
 
@@ -40,6 +42,8 @@ ORDER_BUCKETS = 1 << 20
 #: Counters that travel in one row.
 CHUNK = 1 << 12
 HOT = 48
+#: Bytes of words that are hashed by BLAKE2b; sums modulo 2**64 have collisions made of a pattern, but none so short.
+LONG_WORD = 24
 #: Nodes and shingles of a block.
 BLOCK, BLOCK_SHINGLES = 512, 500_000
 SKETCH = 64
@@ -71,6 +75,11 @@ def shingles(column: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
         closes[cuts - 1] = inside[cuts - 1]
         starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
         words = rolling.stretches(rolling.prefixes(part), starts, ends)
+        long = np.flatnonzero(ends - starts >= LONG_WORD)
+        if len(long):
+            raw = part.tobytes()
+            found = [hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+            words[long] = np.frombuffer(b"".join(found), U)
         chain = mix(words)
         for k in range(1, size):
             if len(words) > k:
@@ -103,15 +112,9 @@ def frequencies(docs: DataFrame, size: int) -> np.ndarray:
                 total += np.bincount(_counter(np.concatenate(found)), minlength=ORDER_BUCKETS)
         yield pa.record_batch([pa.array(np.arange(ORDER_BUCKETS // CHUNK)), pa.array([x.tobytes() for x in total.reshape(-1, CHUNK)], pa.binary())], ["chunk", "counts"])
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.int64) for x in pdf["counts"])
-        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "counts": [total.tobytes()]})
-
-    kind = "chunk long, counts binary"
-    sums = docs.select("text").coalesce(COUNTING_TASKS).mapInArrow(count, kind).groupBy("chunk").applyInPandas(add, kind).toArrow()
     total = np.zeros((ORDER_BUCKETS // CHUNK, CHUNK), np.int64)
-    for k, x in zip(sums.column("chunk").to_pylist(), sums.column("counts").to_pylist(), strict=True):
-        total[k] = np.frombuffer(x, np.int64)
+    for k, x in added_up(docs.select("text").mapInArrow(count, "chunk long, counts binary"), "counts", sum, np.int64).items():
+        total[k] = x
     return total.ravel()
 
 

@@ -10,8 +10,9 @@ a spanning forest of them. Equal vectors are one node with a multiplicity.
 Measured with 64 dimensions at cosine 0.95, the least that links: all of 4,000 random pairs shared a bucket.
 
 Nulls, empties, ties: vectors that are null, empty, zero, or hold a null or a number that is not finite link with nothing.
-Vectors of other lengths never link. Rows that repeat a vec_id count as one vector. Rows without a vec_id take part in no
-link and have no component. An empty table gives an empty result. Other columns are ignored.
+Vectors of other lengths never link. Rows that repeat a vec_id and its vector count as one vector, in the links too; rows that
+repeat a vec_id with another vector are another vector. Rows without a vec_id take part in no link and have no component. An
+empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, prepare, stored
+from .common import Batches, drop_stored, prepare, stored
 from .graph import components
 
 THRESHOLD = 0.95
@@ -86,8 +87,8 @@ def _vectors(batches: Batches) -> Batches:
 
 def _keyed(batches: Batches) -> Batches:
     for batch in batches:
-        vecs = [np.frombuffer(v, np.float64) for v in batch.column(2).to_pylist()]
-        keys = [None] * len(vecs)
+        vecs = [np.frombuffer(v, np.float64) for v in batch.column(3).to_pylist()]
+        keys: list = [None] * len(vecs)
         for n in {len(v) for v in vecs}:
             at = [k for k, v in enumerate(vecs) if len(v) == n]
             for k, row in zip(at, bucket_keys(np.array([vecs[k] for k in at])), strict=True):
@@ -175,8 +176,14 @@ def dedup(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     prepare(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     every = rows.mapInArrow(_vectors, "vec_id long, sig binary, vec binary")
-    nodes = every.where("sig is not null and vec_id is not null").groupBy("sig").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("times"), F.first("vec").alias("vec"))
-    keyed = stored(nodes.select("id", "times", "vec", "sig").mapInArrow(_keyed, "id long, times long, vec binary, sig binary, keys array<long>"))
+    ids = stored(every.select("vec_id", "sig"))
+    good = "sig is not null and vec_id is not null"
+    again = ids.where(good).groupBy("sig", "vec_id").agg((F.count(F.lit(1)) - 1).alias("more")).where("more > 0").groupBy("sig").agg(F.sum("more").alias("more"))
+    equal = every.where(good).groupBy("sig").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("rows"), F.first("vec").alias("vec"))
+    # a node for each different vector, numbered as it is stored
+    nodes = equal.join(again, "sig", "left").select(F.monotonically_increasing_id().alias("id"), "vec_id", (F.col("rows") - F.coalesce("more", F.lit(0))).alias("times"), "vec", "sig")
+    kinds = "id long, vec_id long, times long, vec binary, sig binary"
+    keyed = stored(nodes.mapInArrow(_keyed, f"{kinds}, keys array<long>"))
     places = keyed.select("id", F.explode(F.array_distinct("keys")).alias("key"))
     shared = places.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     placed = places.join(shared, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -185,8 +192,13 @@ def dedup(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = stored(held.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_met(threshold), "a long, b long, n long"))
     links = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "linked")
     of = components(found.where("b is not null").select("a", "b"))
-    each = keyed.select("sig", "id", "times").join(links, F.col("id") == F.col("linked"), "left").join(of, F.col("id") == F.col("node"), "left")
-    each = each.select("sig", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
-    out = every.select("vec_id", "sig").join(each, "sig", "left")
+    each = keyed.select("sig", "id", "vec_id", "times").join(links, F.col("id") == F.col("linked"), "left").join(of, F.col("id") == F.col("node"), "left")
+    each = stored(each.select("sig", "vec_id", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "id").alias("part")))
+    least = each.groupBy("part").agg(F.min("vec_id").alias("component"))
+    out = ids.join(each.drop("vec_id").join(least, "part"), "sig", "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
+    n_links = F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long")
+    out = stored(out.select("vec_id", n_links.alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept")))
+    for old in (ids, keyed, found, of, each):
+        drop_stored(old)
+    return out

@@ -3,21 +3,26 @@
 Tokens are runs of secret characters ([A-Za-z0-9+/_.=-]) or runs of other visible characters. Each is tagged as secret
 begin, inside or outside, from its shape and length, the neighbouring words, and features of the whole text; the best tags
 are found by Viterbi. A token can only be begin or inside if it is a candidate: it has a digit and at least MIN_MIXED
-characters, or at least MIN_LONG characters, or stands within REACH tokens after a word such as `password`. All others are
-outside by construction, so a text falls into runs of candidates whose best tags don't depend on each other, and decoding
-only these runs is exact.
+characters, or at least MIN_LONG characters, or is one of the REACH tokens after one with a word such as `password`, and has
+MIN_NEAR characters. All others are outside by construction. So the chain over all tokens falls apart at every token that is
+outside: the best tags of a run of candidates next to each other don't depend on other runs, and decoding only these runs gives
+what Viterbi gives on the whole chain.
 
-The field is trained on texts with planted secrets, made by a rule, and on at most SAMPLE_ROWS texts of the corpus whose
-labels are the fixed patterns' matches.
+The field is trained on texts with planted secrets, made by a rule, and on at most SAMPLE_ROWS different texts of the corpus,
+RUNS_PER_TEXT runs of each at most, chosen by hashes, whose labels are the fixed patterns' matches.
+
+A span that the field finds is added unless the fixed patterns' spans cover all of it.
 
 Nulls, empties, ties: a null text is empty and has no span. Spans are ordered by start, then by kind in the order assign,
-access, hex, crf; equal rows get equal spans. Other columns are kept as they are.
+access, hex, crf; equal rows get equal spans. All work is in proportion to a text's length. Other columns are kept as they are.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +39,9 @@ KINDS = ("assign", "access", "hex", "crf")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 MORE_KEYWORDS = ("bearer", "authorization", "credential", "private_key", "pwd")
 
-SAMPLE_ROWS = 1000
-MIN_MIXED, MIN_LONG, REACH = 8, 24, 4
+#: Bounds of the corpus's share in the training: texts, and runs of each.
+SAMPLE_ROWS, RUNS_PER_TEXT = 1000, 8
+MIN_MIXED, MIN_LONG, MIN_NEAR, REACH = 8, 24, 6, 4
 _TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]+|[^\sA-Za-z0-9+/_.=-]+")
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]*")
 _LONG = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % MIN_LONG)
@@ -61,9 +67,17 @@ def _value_spans(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int
     return [(ASSIGN.match(text, s).start(2), e) if k == 0 else (s, e) for s, k, e in spans]
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    """Bounds of the tokens that may belong to a secret, in order."""
-    found = {(m.start(), m.end()) for m in _LONG.finditer(text)}
+Token = tuple[int, int]
+
+
+def tokens_of(text: str) -> list[Token]:
+    """Bounds of all tokens, in order."""
+    return [m.span() for m in _TOKEN.finditer(text)]
+
+
+def candidates(text: str) -> tuple[list[Token], list[int]]:
+    """All tokens of a text and the numbers of those that may belong to a secret, in order; no tokens if there are none."""
+    spans = {m.start() for m in _LONG.finditer(text)}
     end = 0
     for m in _DIGITS.finditer(text):
         at = m.start()
@@ -74,33 +88,32 @@ def candidates(text: str) -> list[tuple[int, int]]:
             start -= 1
         end = _RUN.match(text, at).end()
         if end - start >= MIN_MIXED:
-            found.add((start, end))
+            spans.add(start)
     low = text.lower()
-    if any(k in low for k in (*KEYWORDS, *MORE_KEYWORDS)):
+    near = any(k in low for k in (*KEYWORDS, *MORE_KEYWORDS))
+    if not spans and not near:
+        return [], []
+    tokens = tokens_of(text)
+    starts = [s for s, _ in tokens]
+    found = {bisect_right(starts, s) - 1 for s in spans}
+    if near:
+        last = -1
         for m in _ANY_KEYWORD.finditer(text):
-            at = m.end()
-            for k in range(REACH + 1):
-                t = _TOKEN.search(text, at)
-                if not t:
-                    break
-                at = t.end()
-                if k or t.start() > m.end():
-                    s, e = t.span()
-                    while s > 0 and text[s - 1] in _SECRET_CHARS and text[s] in _SECRET_CHARS:
-                        s -= 1
-                    if e - s >= 6 and text[s] in _SECRET_CHARS:
-                        found.add((s, e))
-    return sorted(found)
+            k = bisect_right(starts, m.end() - 1) - 1
+            if k != last:
+                found.update(j for j in range(k + 1, min(k + 1 + REACH, len(tokens))) if text[tokens[j][0]] in _SECRET_CHARS and tokens[j][1] - tokens[j][0] >= MIN_NEAR)
+                last = k
+    return tokens, sorted(found)
 
 
 _CLASSES = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-", "X" * 26 + "x" * 26 + "d" * 10 + "++_.=-")
 _SAME = re.compile(r"(.)\1+")
 
 
-def _word(text: str, m: re.Match | None) -> str:
-    if not m:
+def _word(text: str, tokens: list[Token], k: int) -> str:
+    if not 0 <= k < len(tokens):
         return "none"
-    w = m.group().lower()
+    w = text[slice(*tokens[k])].lower()
     if w[0] not in _SECRET_CHARS or w in ("=", "-", ".", "=="):
         return w[:3]
     return next((k for k in (*KEYWORDS, *MORE_KEYWORDS) if k in w), "digits" if any(c.isdigit() for c in w) else "word")
@@ -113,33 +126,32 @@ def text_features(text: str) -> list[str]:
     return [f"size={int(math.log10(n))}", f"code={min(4, int(200 * code / n))}", f"lines={min(5, int(math.log2(1 + text.count(chr(10)))))}"]
 
 
-def token_features(text: str, start: int, end: int, whole: list[str]) -> list[str]:
-    token = text[start:end]
-    shape = _SAME.sub(r"\1", token[:256].translate(_CLASSES))
+def token_features(text: str, tokens: list[Token], at: int, whole: list[str]) -> list[str]:
+    """Features of one token: of itself, of its neighbours, of the whole text."""
+    token = text[slice(*tokens[at])]
+    shape = _SAME.sub(r"\1", token.translate(_CLASSES))
     kinds = "".join(c for c in "Xxd+_.=-" if c in shape)
-    before = list(_TOKEN.finditer(text, max(0, start - 48), start))[-3:]
-    after = [m for m, _ in zip(_TOKEN.finditer(text, end, end + 48), range(2), strict=False)]
-    words = [_word(text, before[-k] if len(before) >= k else None) for k in (1, 2, 3)]
+    words = [_word(text, tokens, at - k) for k in (1, 2, 3)]
     hexa = all(c in "0123456789abcdef" for c in token)
     digits = sum(c.isdigit() for c in token) / len(token)
     distinct = len(set(token)) / math.sqrt(len(token))
     size = min(8, int(2 * math.log2(len(token))) - 5)
     return [
         "bias", f"kinds={kinds}", f"shape={shape[:6]}", f"size={size}", f"hex={hexa}/{size}", f"digits={int(5 * digits)}", f"distinct={int(2 * distinct)}",
-        *(f"before{k}={w}" for k, w in enumerate(words)), f"after={_word(text, after[0] if after else None)}", f"key={any(w in (*KEYWORDS, *MORE_KEYWORDS) for w in words)}/{kinds}",
+        *(f"before{k}={w}" for k, w in enumerate(words)), f"after={_word(text, tokens, at + 1)}", f"key={any(w in (*KEYWORDS, *MORE_KEYWORDS) for w in words)}/{kinds}",
         *whole,
     ]
 
 
-def _runs(text: str, tokens: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """Candidates in runs: neighbours in a run have at most one token of other characters and no white space between them."""
-    runs: list[list[tuple[int, int]]] = []
-    for s, e in tokens:
-        if runs and s - runs[-1][-1][1] <= 2 and not any(c.isspace() for c in text[runs[-1][-1][1] : s]):
-            runs[-1].append((s, e))
+def runs_of(numbers: list[int]) -> list[list[int]]:
+    """Numbers of candidates in runs of tokens next to each other."""
+    out: list[list[int]] = []
+    for k in numbers:
+        if out and k == out[-1][-1] + 1:
+            out[-1].append(k)
         else:
-            runs.append([(s, e)])
-    return runs
+            out.append([k])
+    return out
 
 
 class Field:
@@ -229,34 +241,45 @@ def planted(n: int = 400) -> list[tuple[str, list[tuple[int, int]]]]:
     return out
 
 
-def labelled_runs(text: str, secrets: list[tuple[int, int]]) -> list[tuple[list[list[str]], list[int]]]:
+Run = tuple[list[list[str]], list[int]]
+
+
+def labelled_runs(text: str, secrets: list[Token], most: int | None = None) -> list[Run]:
+    """Features and tags of a text's runs of candidates; of more than `most` runs those with the least hashes."""
     whole = text_features(text)
-    out = []
-    for run in _runs(text, candidates(text)):
+    tokens, numbers = candidates(text)
+    runs, out = runs_of(numbers), []
+    if most is not None and len(runs) > most:
+        runs = sorted(runs, key=lambda r: (zlib.crc32(b"%d" % r[0]), r[0]))[:most]
+    spans = sorted(secrets)
+    for run in runs:
         tags, last = [], -1
-        for s, e in run:
-            k = next((k for k, (a, b) in enumerate(secrets) if s < b and a < e), -1)
+        for at in run:
+            s, e = tokens[at]
+            k = bisect_right(spans, (e - 1, math.inf)) - 1  # the last that starts before the token's end
+            k = k if k >= 0 and s < spans[k][1] else -1
             tags.append(O if k < 0 else I if k == last else B)
             last = k
-        out.append(([token_features(text, s, e, whole) for s, e in run], tags))
+        out.append(([token_features(text, tokens, at, whole) for at in run], tags))
     return out
 
 
-def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Field:
+def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, runs_per_text: int = RUNS_PER_TEXT) -> Field:
     """Fit on planted() and on at most sample_rows texts of docs, labelled by the fixed patterns."""
     rows = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
-    order = F.xxhash64("text")
+    order = F.shiftrightunsigned(F.xxhash64("text"), 11) / float(1 << 53)
     rows = rows.where(F.col("text").rlike("[0-9]"))
     share = 2 * sample_rows / max(1, rows.count())  # what is sorted stays in proportion to the sample
-    picked = rows.select("text", order.alias("order_")).where(F.shiftrightunsigned(order, 11) / float(1 << 53) < share).orderBy("order_", "text").limit(sample_rows)
+    some = rows.select("text", order.alias("order_")).where(F.col("order_") < share)
+    picked = some.groupBy("order_").agg(F.first("text").alias("text")).orderBy("order_").limit(sample_rows)
     prepare(docs.sparkSession)
 
     def labelled(batches: Batches) -> Batches:
         for batch in batches:
-            found = [r for t in batch.column(0).to_pylist() for r in labelled_runs(t, _value_spans(t, base_spans(t)))[:64]]
+            found = [r for t in batch.column(0).to_pylist() for r in labelled_runs(t, _value_spans(t, base_spans(t)), runs_per_text)]
             yield pa.record_batch([pa.array([["\t".join(x) for x in fs] for fs, _ in found], pa.list_(pa.string())), pa.array([t for _, t in found], pa.list_(pa.int64()))], ["features", "tags"])
 
-    sample = picked.select("text").mapInArrow(labelled, "features array<string>, tags array<long>").limit(8 * sample_rows).collect()
+    sample = picked.select("text").mapInArrow(labelled, "features array<string>, tags array<long>").collect()
     runs = [([x.split("\t") for x in r["features"]], list(r["tags"])) for r in sample]
     runs.sort(key=lambda r: (r[0], r[1]))
     for text, spans in planted():
@@ -266,26 +289,37 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Field:
     return field
 
 
+def joint(spans: list[Token]) -> list[Token]:
+    """The union of spans, as spans apart from each other."""
+    out: list[list[int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return [(s, e) for s, e in out]
+
+
 def find(text: str | None, field: Field) -> list[tuple[int, int, int]]:
-    """All spans (start, kind, end) of a text; those that the field adds lie outside the fixed patterns' spans."""
+    """All spans (start, kind, end) of a text; the field adds those that the fixed patterns' spans don't cover."""
     text = text or ""
     base = base_spans(text)
-    tokens = candidates(text)
-    if not tokens:
+    tokens, numbers = candidates(text)
+    if not numbers:
         return base
     whole, added = text_features(text), []
-    for run in _runs(text, tokens):
-        tags = field.viterbi(field.emissions([token_features(text, s, e, whole) for s, e in run]))
-        for (s, e), t in zip(run, tags, strict=True):
+    for run in runs_of(numbers):
+        tags = field.viterbi(field.emissions([token_features(text, tokens, at, whole) for at in run]))
+        for at, t in zip(run, tags, strict=True):
             if t == B:
-                added.append([s, e])
+                added.append(list(tokens[at]))
             elif t == I:
-                added[-1][1] = e
-    covered, last, out = sorted((s, e) for s, _, e in base), 0, []
+                added[-1][1] = tokens[at][1]
+    covered = joint([(s, e) for s, _, e in base])
+    starts, out = [s for s, _ in covered], []
     for s, e in added:
-        while last < len(covered) and covered[last][1] <= s:
-            last += 1
-        if not any(a < e and s < b for a, b in covered[last : last + 4]):
+        k = bisect_right(starts, s) - 1
+        if k < 0 or e > covered[k][1]:
             out.append((s, 3, e))
     return sorted(base + out)
 
@@ -311,10 +345,9 @@ def scan(docs: DataFrame, field: Field, text: str = "text", spans: str = "secret
 def redacted(text: str, field: Field, mask: str = "[SECRET]") -> str:
     """The text with every secret replaced: of assignments the value, of all other spans the whole."""
     out, last = [], 0
-    for s, e in sorted(_value_spans(text, find(text, field))):
-        if s >= last:
-            out += [text[last:s], mask]
-        last = max(last, e)
+    for s, e in joint(_value_spans(text, find(text, field))):
+        out += [text[last:s], mask]
+        last = e
     return "".join([*out, text[last:]])
 
 

@@ -2,9 +2,9 @@
 
 Features are counts of letter 1-, 2- and 3-grams (lower case, anything but letters as one blank), hashed to BUCKETS,
 weighted by 1+ln(count) and by the inverse document frequency over *all* training documents, then scaled to length one.
-Weights are fitted by follow-the-regularised-leader with elastic-net penalties on at most SAMPLE_ROWS training rows, the
-same share of it for each language; a fifth of them sets the temperature of the softmax. The model has BUCKETS weights a
-language, whatever the input's size.
+Weights are fitted by follow-the-regularised-leader with elastic-net penalties on at most SAMPLE_ROWS training rows, as many
+of each language (all, where it has fewer), chosen by a hash; a fifth of them sets the temperature of the softmax. The model
+knows the languages of these rows, SAMPLE_ROWS at most, with BUCKETS weights each, whatever the input's size.
 
 Nulls, empties, ties: a text that is null or has no letter is `und` with score 0; rows without a language don't train; equal
 scores go to the language first in the alphabet; without any training row all texts are `und`. Other columns are ignored.
@@ -18,12 +18,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import COUNTING_TASKS, Batches, prepare, spare_memory, texts_of
+from .common import Batches, prepare, spare_memory, texts_of
 
 BUCKETS = 1 << 14
 #: Bound of the rows that the weights are fitted on.
 SAMPLE_ROWS = 2000
+#: Languages whose counts are broadcast (some 40 bytes each); more are joined by a shuffle.
+MOST_BROADCAST = 100_000
 UNKNOWN = "und"
 #: Letters counted at once; longer texts are counted in blocks.
 BLOCK = 1 << 20
@@ -43,9 +46,9 @@ def ngram_counts(text: str) -> np.ndarray:
     letter = _letters()[codes]
     if not letter.any():
         return np.zeros(BUCKETS, np.int64)
-    codes = np.where(letter, codes, 32).astype(np.uint64)
-    again = np.flatnonzero(~letter[1:] & ~letter[:-1]) + 1
-    codes = np.concatenate([[32], np.delete(codes, again), [32]]).astype(np.uint64)
+    codes = np.concatenate([[32], np.where(letter, codes, 32), [32]]).astype(np.uint64)
+    blank = codes == 32
+    codes = codes[~np.concatenate([[False], blank[1:] & blank[:-1]])]
     counts = np.zeros(BUCKETS, np.int64)
     for at in range(0, len(codes), BLOCK):
         part = codes[at : at + BLOCK + 2]
@@ -145,7 +148,7 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
         at = np.flatnonzero(seen)
         yield pa.record_batch([pa.array(np.append(at, -1)), pa.array(np.append(seen[at], docs))], ["bucket", "n"])
 
-    found = rows.select("text").coalesce(COUNTING_TASKS).mapInArrow(frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    found = rows.select("text").mapInArrow(frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     n_docs, df = 0, np.zeros(BUCKETS)
     for r in found:  # BUCKETS + 1 rows at most
         if r["bucket"] < 0:
@@ -154,15 +157,17 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
             df[r["bucket"]] = r["n"]
     idf = np.log((1 + n_docs) / (1 + df)) + 1
 
-    by_lang = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    languages = sorted(by_lang)
-    if not languages:
+    by_lang = rows.groupBy(F.col("lang").alias("lang_")).agg(F.count(F.lit(1)).alias("rows_"))
+    n_languages = by_lang.count()
+    if not n_languages:
         return Model([], idf, np.zeros((0, BUCKETS + 1)), 1.0)
-    each = sample_rows / len(languages)
-    order = F.xxhash64("id", "text")
-    share = F.shiftrightunsigned(order, 11) / float(1 << 53)
-    chance = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, 1.1 * each / by_lang[lang]))])
-    picked = rows.select("text", "lang", order.alias("order_")).where(share < chance[F.col("lang")]).orderBy("order_", "text", "lang").limit(sample_rows)
+    by_lang = F.broadcast(by_lang) if n_languages <= MOST_BROADCAST else by_lang
+    # a share of each language by a hash, somewhat more than is needed, then exactly as many of each
+    each = max(1, sample_rows // n_languages)
+    order = F.shiftrightunsigned(F.xxhash64("id", "text"), 11) / float(1 << 53)
+    some = rows.select("text", "lang", order.alias("order_")).join(by_lang, F.col("lang") == F.col("lang_")).where(F.col("order_") * F.col("rows_") < 2 * each + 100)
+    ranked = some.withColumn("rank_", F.row_number().over(Window.partitionBy("lang").orderBy("order_", "text"))).where(F.col("rank_") <= each)
+    picked = ranked.orderBy("order_", "text", "lang").limit(sample_rows)
 
     def encoded(batches: Batches) -> Batches:
         for batch in batches:
@@ -178,7 +183,9 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
         counts = np.zeros(BUCKETS, np.int64)
         counts[np.frombuffer(r["at"], "<i4")] = np.frombuffer(r["n"], "<i4")
         if counts.any():
-            sample.append((*_features(counts, idf), languages.index(r["lang"])))
+            sample.append((*_features(counts, idf), r["lang"]))
+    languages = sorted({lang for _, _, lang in sample})
+    sample = [(at, x, languages.index(lang)) for at, x, lang in sample]
     held = sample[::5]
     weights = fit_weights([r for k, r in enumerate(sample) if k % 5], len(languages))
     logits = [weights[:, at] @ x + weights[:, -1] for at, x, _ in held]

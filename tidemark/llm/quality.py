@@ -3,7 +3,8 @@
 The ratio compares two multinomials over BUCKETS hashed word 1- and 2-grams: one of trusted texts, one of the raw corpus,
 both with one added to every count, so it is defined for any text. A text's score is the mean of ln(p_trusted / p_raw)
 over its n-grams; it is kept if no fixed rule fails and the score is at least THRESHOLD. Every document is scored, and the
-same tables give the same verdicts.
+same tables give the same verdicts. THRESHOLD is a parameter, not learned: the default says that on average an n-gram of a kept
+text is at most e ** 0.25 = 1.28 times likelier in the raw corpus than in trusted text.
 
 The counts are BUCKETS pairs of numbers whatever the input's size; they reach the scan as one constant array. Words of a text are handled inside its row, so nothing but the counts is shuffled.
 
@@ -19,8 +20,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import COUNTING_TASKS
-
 BUCKETS = 1 << 16
 THRESHOLD = -0.25
 MIN_WORDS = 20
@@ -39,8 +38,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def words(text: Column) -> Column:
-    bare = F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
-    return F.when(F.length(bare) > 0, F.split(bare, f"{SPACE}+")).otherwise(F.array().cast("array<string>"))
+    """Split at runs of white space, in one pass over the text; only the first and the last part can be empty."""
+    return F.array_remove(F.split(text, f"{SPACE}+"), "")
 
 
 def hashes(text: Column) -> Column:
@@ -87,7 +86,7 @@ def ratios(docs: DataFrame, trusted: DataFrame) -> Column:
     ids = trusted.select(F.col("doc_id").alias("trusted_id")).where(F.col("trusted_id").isNotNull()).distinct()
     if ids.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         ids = F.broadcast(ids)
-    marked = docs.select("doc_id", "text").coalesce(COUNTING_TASKS).join(ids, F.col("doc_id") == F.col("trusted_id"), "left")
+    marked = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("trusted_id"), "left")
     text = F.coalesce("text", F.lit(""))
     grams = marked.select(F.col("trusted_id").isNotNull().cast("long").alias("t"), F.explode(let(hashes(text), buckets)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target"))

@@ -3,9 +3,11 @@
 Documents longer than the capacity are cut into full pieces and a rest; no other is cut. The pieces are dealt by a hash to
 groups of bounded size, each packed by best-fit decreasing. Dual-feasible functions give a lower bound on the bins of each
 group and of all pieces together (from the counts by length, at most `capacity` of them). While there are more bins than
-the bound over all, the pieces of bins with room left are exchanged: dealt anew to fewer groups and packed again, until the
-bound is met or a single group was packed; then with a bounded share of the full bins too. A round's outcome is kept only if
-it has no more bins than before.
+the bound over all, the pieces of bins with room left are exchanged: dealt anew to groups that are GROW times as large, up to
+MOST times the first size, and packed again, until the bound is met, a round with the largest groups saves no bin, or all of
+them are in one group. If they would fit in one, they are packed with a bounded share of the full bins too. So no task packs more
+than some MOST * GROUP pieces, whatever the table's size. A round's outcome is kept only if it has fewer bins than
+before; where the bound isn't met, the groups' own bounds and bins stand in the rows.
 
 Nulls, empties, ties: pieces of any length from 1 to the capacity are packed, none is lost; ties are broken by doc_id and
 piece, and repeated rows are pieces of their own. An empty table gives an empty result.
@@ -21,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, prepare, stored, texts_of
+from .common import Batches, drop_stored, prepare, stored, texts_of
 from .tokens import encoder
 
 CAPACITY = 2048
 #: Pieces dealt to a group on average: what one task packs at once.
 GROUP = 4096
-#: The groups shrink in number by this much each round.
-SHRINK = 16
+#: How much the groups grow each round, and up to how many times GROUP.
+GROW, MOST = 4, 64
 #: Attempts to save the last bins, each with this many groups' pieces in one task.
 TRIES, WIDE = 3, 4
 
@@ -103,6 +105,7 @@ def best_fit_decreasing(lengths: list[int], capacity: int = CAPACITY) -> tuple[l
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """pieces (doc_id, piece, length, ...) with sequence_id and offset added, and the group's lower bound and bins."""
+    prepare(pieces.sparkSession)
     schema = pieces.schema
     names = schema.names
     plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
@@ -139,19 +142,24 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
     for r in by_length:
         counts[r["length"]] += r["count"]
     bound, total = lower_bound(counts, capacity), int(counts.sum())
-    n, round_ = max(1, math.ceil(total / group)), 0
+    n, size, round_ = max(1, math.ceil(total / group)), group, 0
     now = stored(packed(pieces, n, 0))
+    written = [now]
     bins, open_pieces = tally(now)
     done: list[DataFrame] = []
     settled = 0
-    while bins + settled > bound and n > 1 and open_pieces:
-        round_, n = round_ + 1, max(1, min(n // SHRINK, math.ceil(open_pieces / group)))
+    while bins + settled > bound and open_pieces and n > 1:
+        size, largest = min(GROW * size, MOST * group), size >= MOST * group
+        n, round_ = math.ceil(open_pieces / size), round_ + 1
         full, rest = now.where(F.col("level") == capacity), now.where(F.col("level") < capacity)
         was = tally(rest)[0]
         again = stored(packed(rest.select(*names), n, round_))
+        written.append(again)
         got, left = tally(again)
-        if got > was:
-            break
+        if got >= was:
+            if largest:
+                break
+            continue
         done.append(full)
         settled += bins - was
         now, bins, open_pieces = again, got, left
@@ -161,15 +169,19 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
     # the last few bins: those with room left once more, together with other bins of many pieces
     total_bins = bins + settled
     for salt in range(TRIES):
-        if total_bins <= bound:
+        if total_bins <= bound or open_pieces > MOST * group:
             break
         share = F.pmod(F.xxhash64("sequence_id", F.lit(salt)), F.lit(max(1, math.ceil(total / (WIDE * group))))) == 0
         pick = (F.col("length") < capacity) & ((F.col("level") < capacity) | share)
         was = tally(result.where(pick))[0]
         round_ += 1
         again = stored(packed(result.where(pick).select(*names), 1, round_))
-        got = tally(again)[0]
+        written.append(again)
+        got, left = tally(again)
         if got < was:
             result = result.where(~pick).unionByName(again)
-            total_bins -= was - got
-    return result
+            total_bins, open_pieces = total_bins - (was - got), left
+    out_rows = stored(result)
+    for old in written:
+        drop_stored(old)
+    return out_rows

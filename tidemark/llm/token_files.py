@@ -14,7 +14,7 @@ A file holds documents in ascending doc_id order and is itself a valid zstandard
 A reader needs the table and then only the frames of the documents it wants. The order across files is their part number.
 
 Nulls, empties, ties: a null text is empty; an empty text still has its end id. Null doc_ids come first. Repeated doc_ids
-stay next to each other, in the order of their texts. An empty table gives no document. Other columns are ignored.
+stay next to each other, in the order of a hash of their texts, by which a doc_id of very many rows is dealt to several files. An empty table gives no document. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ FRAMES = np.dtype([("at", "<u8"), ("size", "<u8"), ("ids", "<u8"), ("crc", "<u4"
 DOCS = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("frame", "<u4"), ("first", "<u8"), ("ids", "<u8")])
 #: Input bytes for each file, so that a file fits in a task many times over.
 FILE_BYTES = 16 << 20
+#: Files whose ids are summed in one task.
+RUN = 4096
 #: Files whose first ids are broadcast (16 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
@@ -116,8 +118,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, style: str = "
             yield pa.record_batch([pa.array([*rest, out.table()], pa.binary())], ["frame"])
 
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    docs = docs.repartitionByRange(partitions_for(docs, FILE_BYTES), F.col("doc_id").asc_nulls_first())
-    docs = docs.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    docs = docs.repartitionByRange(partitions_for(docs, FILE_BYTES), *order).sortWithinPartitions(*order)
     rows = docs.mapInArrow(frames, "frame binary").select(F.col("frame").cast("string").alias("value"))
     rows.write.option("lineSep", GAP.decode("ascii")).option("compression", "none").text(path)
 
@@ -158,8 +160,13 @@ def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None =
     backwards = F.reverse(F.hex(F.expr(f"substring(content, cast(length as int) - {place - 1}, 8)")))
     pairs = F.regexp_replace(backwards, "(.)(.)", "$2$1")
     totals = files.select(part, F.conv(pairs, 16, 10).cast("long").alias("total"))
-    bases = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
-    if bases.count() <= MOST_BROADCAST:
+    # sums over the files before each: within runs of RUN files, and over the runs
+    runs = totals.withColumn("run", F.floor(F.col("part") / RUN))
+    before = runs.groupBy("run").agg(F.sum("total").alias("of_run"))
+    before = before.select("run", (F.sum("of_run").over(Window.orderBy("run")) - F.col("of_run")).alias("base"))
+    within = F.sum("total").over(Window.partitionBy("run").orderBy("part")) - F.col("total")
+    bases = runs.withColumn("within", within).join(before, "run").select("part", (F.col("base") + F.col("within")).alias("base"))
+    if files.count() <= MOST_BROADCAST:
         bases = F.broadcast(bases)
     rows = files.select(part, "content").mapInArrow(documents, "part long, doc_id long, before long, n_tokens long, ids binary")
     return rows.join(bases, "part").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids")

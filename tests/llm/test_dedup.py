@@ -57,15 +57,15 @@ def test_components(spark, links):
     assert sorted(map(tuple, graph.components(graph.forest(df)).collect())) == sorted((x, union.root(x)) for x in nodes)
 
 
-def slow_repeats(texts):
-    """Removed runs of each text, by counting every string of 400 bytes."""
-    counts = Counter(t[k : k + 400] for t in texts for k in range(len(t) - 399))
+def slow_repeats(texts, length=400):
+    """Runs of each text that repeated strings cover, by counting every string of a length."""
+    counts = Counter(t[k : k + length] for t in texts for k in range(len(t) - length + 1))
     out = []
     for t in texts:
         gone = bytearray(len(t))
-        for k in range(len(t) - 399):
-            if counts[t[k : k + 400]] > 1:
-                gone[k : k + 400] = b"\1" * 400
+        for k in range(len(t) - length + 1):
+            if counts[t[k : k + length]] > 1:
+                gone[k : k + length] = b"\1" * length
         out.append([(m.start(), m.end()) for m in re.finditer(b"\1+", bytes(gone))])
     return out
 
@@ -77,15 +77,25 @@ def repeat_texts():
     edited = plain[0][:700] + "#" + plain[0][701:]
     return [
         *plain, plain[1], edited, plain[2][:300] + passage + plain[3][:50], passage + plain[4][100:300], "x" + passage[5:], other * 4, "z" * 1500, "z" * 399, "z" * 400, "ab" * 700, ("ab" * 300) + "c" + ("ab" * 300), "é" + other[:390] + "è", passage[:399], passage[1:400], "", None,
-        (passage + " " + other) * 2 + plain[5][:600], "é" * 250 + "!", "ê" + "é" * 260,
+        (passage + " " + other) * 2 + plain[5][:600], "é" * 250 + "!", "ê" + "é" * 260, sentence(rng, 30) + " " + other[100:390], other[100:390] + sentence(rng, 40), thue_morse(9), thue_morse(9).translate(SWAP),
     ]
 
 
-@pytest.mark.parametrize("copies", [1, 3])
-def test_suffix_dedup(spark, copies):
+SWAP = str.maketrans("ab", "ba")
+
+
+def thue_morse(n):
+    """2**n letters; they and their opposite collide under any polynomial hash modulo a power of two, if n is large."""
+    return "".join("ab"[k.bit_count() % 2] for k in range(1 << n))
+
+
+@pytest.mark.parametrize("copies,most", [(1, 1 << 16), (3, 1)])
+def test_suffix_dedup(spark, monkeypatch, copies, most):
+    """With all trigger strings sorted, and with all beyond the bound of classes."""
+    monkeypatch.setattr(suffix_dedup, "MOST_CLASSES", most)
     texts = [t for t in repeat_texts() for _ in range(copies if t and t.startswith("z") else 1)]
     raw = [(t or "").encode() for t in texts]
-    want = slow_repeats(raw)
+    want, short = slow_repeats(raw), slow_repeats(raw, 200)
     got = {r.doc_id: r for r in suffix_dedup.dedup(docs(spark, texts, extra=True).repartition(3)).collect()}
     assert len(got) == len(texts)
     for k, (b, spans) in enumerate(zip(raw, want, strict=True)):
@@ -93,6 +103,29 @@ def test_suffix_dedup(spark, copies):
         r = got[k]
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(b), len(b) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()), k
         assert [(x.start, x.end) for x in r.spans or []] == spans
+        passages = [(i, j) for i, j in short[k] if len(b[i:j].split()) > 50]
+        assert ([(x.start, x.end) for x in r.passages or []], r.passage_bytes) == (passages, sum(j - i for i, j in passages)), k
+
+
+def test_shared_places_against_brute_force():
+    rng = random.Random(6)
+    shape = suffix_dedup.Shape(length=20, spread=9)
+    for _ in range(200):
+        n = rng.randrange(2, 12)
+        some = lambda: bytes(rng.choice(b"\0a") for _ in range(rng.choice([8, 8, 8, 5, 0])))
+        group, before, behind = np.sort(np.array([rng.randrange(3) for _ in range(n)])), [some() for _ in range(n)], [some() for _ in range(n)]
+        strings = [[(g, a[:j], b[: 8 - j]) if len(a) >= j and len(b) >= 8 - j else None for g, a, b in zip(group.tolist(), before, behind, strict=True)] for j in range(9)]
+        want = [[x is not None and row.count(x) > 1 for x in row] for row in strings]
+        assert suffix_dedup.shared_places(shape, group, before, behind).tolist() == want
+
+
+def test_passages_are_cut_by_their_words(spark):
+    rng = random.Random(3)
+    passage, line = " ".join(rng.choice(["ab", "cde", "fghi"]) for _ in range(60)), " ".join("license" + str(k) for k in range(30))
+    texts = [" ".join([sentence(rng, 60), part, sentence(rng, 60)]) for part in (passage, passage, line, line, "nothing")]
+    left = {r.doc_id: r.text for r in suffix_dedup.cleaned(docs(spark, texts), 200, 50).collect()}
+    assert len(passage) < 400 and [passage in left[k] for k in range(2)] == [False, False] and all(left[k] == texts[k] for k in (2, 3, 4))
+    assert all(len(left[k]) >= len(texts[k]) - len(passage) - 40 for k in range(2))
 
 
 def test_suffix_dedup_awkward_and_cleaned(spark):
@@ -119,12 +152,13 @@ def test_suffix_dedup_awkward_and_cleaned(spark):
 def test_triggers_are_in_every_string_at_equal_places():
     rng = np.random.default_rng(2)
     for data in (rng.integers(0, 4, 3000).astype(np.uint8), np.zeros(900, np.uint8), np.tile(rng.integers(0, 9, 50).astype(np.uint8), 30)):
-        at = suffix_dedup.Parse(data, np.array([0, len(data)])).at
-        assert at[0] < suffix_dedup.SPREAD and (np.diff(at) <= suffix_dedup.SPREAD).all() and len(data) - suffix_dedup.TRIGGER - at[-1] < suffix_dedup.SPREAD
-        part = data[100:850]
-        inner = suffix_dedup.Parse(part, np.array([0, len(part)])).at
-        safe = (inner >= 0) & (inner <= len(part) - suffix_dedup.TRIGGER)
-        assert set((inner[safe] + 100).tolist()) <= set(at.tolist()) | set((inner[(inner < suffix_dedup.SPREAD) | (inner > len(part) - suffix_dedup.LENGTH)] + 100).tolist())
+        for shape in (suffix_dedup.Shape(), suffix_dedup.Shape(200)):
+            at = suffix_dedup.Parse(shape, data, np.array([0, len(data)])).at
+            assert at[0] < shape.spread and (np.diff(at) <= shape.spread).all() and len(data) - shape.trigger - at[-1] < shape.spread
+            part = data[100:850]
+            inner = suffix_dedup.Parse(shape, part, np.array([0, len(part)])).at
+            safe = (inner >= 0) & (inner <= len(part) - shape.trigger)
+            assert set((inner[safe] + 100).tolist()) <= set(at.tolist()) | set((inner[(inner < shape.spread) | (inner > len(part) - shape.length)] + 100).tolist())
 
 
 def slow_sets(rows):
@@ -175,6 +209,14 @@ def test_ngram_join(spark, monkeypatch, hot, block):
     assert len(set(want.values())) < len(rows) - 60
 
 
+def test_ngram_join_links_no_words_that_differ_by_a_pattern(spark):
+    """Thue-Morse words and their opposites collide under polynomial hashes modulo a power of two, of any odd base."""
+    words = [x for n in (10, 11, 4) for x in (thue_morse(n), thue_morse(n).translate(SWAP))]
+    rows = list(enumerate([*words, *("one two three " + w for w in words), *(f"a b {w} c d" for w in words), words[0] + " "]))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(docs(spark, rows)).collect()}
+    assert got == {d: (2 if 12 <= d < 18 else 1, 0 if d == 18 else d) for d, _ in rows}
+
+
 def test_ngram_join_awkward(spark):
     rows = awkward()
     want, sets = slow_components(rows), slow_sets(rows)
@@ -222,6 +264,30 @@ def test_embeddings(spark, monkeypatch, block):
     assert embedding_dedup.dedup(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_repeated_ids(spark):
+    """Every row is looked at: equal rows are one vector, another vector of the same id is one of its own."""
+    v = vectors(12, 24, 5)
+    near = [x * 1.0001 for x in v[0][:-1]] + [v[0][-1] * 0.999]
+    rows = [(1, v[0]), (1, v[0]), (1, v[0]), (2, v[0]), (3, near), (3, v[100 % 12]), (4, v[11]), (4, v[11]), (5, None), (5, None), (5, near), (None, v[0]), (None, None), (6, [-x for x in v[0]])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.dedup(df.repartition(3)).collect())
+    unit = lambda x: np.array(x) / np.linalg.norm(x)
+    nodes = sorted({(k, tuple(x)) for k, x in rows if k is not None and x})
+    linked = {a: [b for b in nodes if b != a and unit(a[1]) @ unit(b[1]) >= 0.95] for a in nodes}
+    union = Union(nodes)
+    for a, others in linked.items():
+        for b in others:
+            union.join(a, b)
+    want = Counter()
+    for k, x in rows:
+        if k is None or not x:
+            want[k, 0, k, k is not None] += 1
+        else:
+            c = min(n[0] for n in nodes if union.root(n) == union.root((k, tuple(x))))
+            want[k, len(linked[k, tuple(x)]), c, c == k] += 1
+    assert got == want
+
+
 def test_hadamard_is_a_rotation():
     x = np.random.default_rng(4).normal(size=(5, 16))
     y = embedding_dedup.hadamard(x) / 4

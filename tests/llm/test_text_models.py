@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -40,6 +41,38 @@ def test_language_id_is_right_on_held_out_texts(spark):
     assert odd[4].lang_pred in model.languages and odd[9].lang_pred == "en"
 
 
+def test_language_id_against_brute_force(spark):
+    """The n-gram counts, document frequencies and scores once more, a letter at a time; and as many rows of each language."""
+    texts, langs = bilingual(90)
+    texts, langs = [*texts, "été 12 Über", "zz top"], [*langs, "rare", "rare"]
+    df = docs(spark, texts, langs=langs).select(F.col("doc_id").alias("id"), "text", "lang")
+    model = langid.train(df, sample_rows=30)
+    assert model.languages == ["en", "fr", "rare"]
+
+    def counts(text):
+        out = Counter()
+        flat = " " + re.sub(r"[^\W\d_]+|.", lambda m: m[0] if m[0][0].isalpha() else " ", text.lower(), flags=re.S) + " "
+        flat = re.sub(" +", " ", flat)
+        many = [0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35]
+        for n in (1, 2, 3):
+            for k in range(len(flat) - n + 1):
+                if n > 1 or flat[k] != " ":
+                    h = ord(flat[k]) * many[0] % 2**64
+                    for j in range(1, n):
+                        h = ((h ^ (h >> 29)) * many[j] + ord(flat[k + j])) % 2**64
+                    out[(h * 0x9E3779B97F4A7C15 % 2**64) >> 50] += 1
+        return out
+
+    df_slow = Counter(b for t in texts for b in counts(t))
+    for t in [*texts[::9], "Neuf pluies, sept lumières!"]:
+        x = {b: (1 + math.log(c)) * (math.log((1 + len(texts)) / (1 + df_slow[b])) + 1) for b, c in counts(t).items()}
+        length = math.sqrt(sum(v * v for v in x.values()))
+        z = [(sum(model.weights[k, b] * v for b, v in x.items()) / length + model.weights[k, -1]) / model.temperature for k in range(3)]
+        p = [math.exp(v - max(z)) for v in z]
+        lang, score = model.predict(t)
+        assert lang == model.languages[p.index(max(p))] and score == pytest.approx(max(p) / sum(p))
+
+
 def test_language_id_of_a_text_in_blocks(monkeypatch):
     text = sentence(random.Random(2), 300, "xyz")
     whole = langid.ngram_counts(text)
@@ -94,6 +127,59 @@ def test_secret_field_finds_planted_secrets_and_little_else(spark):
     assert not [x for x in secrets.find("call 555-123-4567 on 2024-01-02 at www.abcdef.example/page12", field) if x[1] == 3]
 
 
+def test_secret_runs_give_what_the_whole_chain_gives():
+    """Viterbi over every token of a text, where those that are no candidates can only be outside."""
+    rng = random.Random(4)
+    field = secrets.Field()
+    noise = np.random.default_rng(6)
+    field.moves = noise.normal(size=(3, 3))
+    words = ["password", "=", "@", "aB3dE5gH9kL2", "Zq8Wx7Rt6Yu5", "plain", "0123456789", "token:", "x" * 30, "-", "(", "secretvalue", "\n"]
+    for _ in range(300):
+        text = "".join(rng.choice(words) + rng.choice(["", " ", "  "]) for _ in range(rng.randrange(1, 25)))
+        tokens, whole = secrets.tokens_of(text), secrets.text_features(text)
+        if not tokens:
+            continue
+        features = [secrets.token_features(text, tokens, k, whole) for k in range(len(tokens))]
+        field.weights = {f: field.weights.get(f, noise.normal(size=3)) for x in features for f in x}
+        may = set(secrets.candidates(text)[1])
+        scores = field.emissions(features)
+        scores[[k for k in range(len(tokens)) if k not in may], 1:] = -1e9
+        spans = []
+        for (s, e), tag in zip(tokens, field.viterbi(scores), strict=True):
+            if tag == secrets.B:
+                spans.append([s, e])
+            elif tag == secrets.I:
+                spans[-1][1] = e
+        base = secrets.base_spans(text)
+        inside = {k for s, _, e in base for k in range(s, e)}
+        want = sorted(base + [(s, 3, e) for s, e in spans if not set(range(s, e)) <= inside])
+        assert secrets.find(text, field) == want, text
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    field = secrets.train(docs(spark, ["a 1"]))
+    n = 1 << 20
+    start = time.monotonic()
+    for text in ("password" * (n // 8), "password " * (n // 9), "token " + "x" * n, "a1b2c3d4 " * (n // 9), "password" + " " * n + "x", "1" * n):
+        secrets.find(text, field)
+    assert time.monotonic() - start < 60
+    blanks = "a" + " " * n + "b" + "\t \n" * (n // 3)
+    none = spark.createDataFrame([], "doc_id long")
+    start = time.monotonic()
+    rows = {r.doc_id: r for r in quality.assess(docs(spark, [blanks, " " * n + "a b "]), none).collect()}
+    assert [(rows[k].n_words, rows[k].word_chars) for k in (0, 1)] == [(2, 2), (2, 2)] and time.monotonic() - start < 30
+
+
+def test_added_spans_reach_beyond_the_fixed_ones(spark):
+    field = secrets.train(docs(spark, ["a 1"]))
+    text = "credential = key-" + "0123456789abcdef" * 2 + "-Xy9Kq81Lmn0Pq then"
+    spans = secrets.find(text, field)
+    assert [x[1] for x in spans].count(2) == 1
+    for s, kind, e in spans:
+        assert kind < 3 or not any(k < 3 and a <= s and e <= b for a, k, b in spans)
+    assert secrets.joint([(5, 9), (1, 2), (2, 3), (8, 12), (20, 21)]) == [(1, 3), (5, 12), (20, 21)]
+
+
 def test_secret_viterbi_is_the_best_tagging():
     import itertools
 
@@ -193,11 +279,14 @@ def model():
     return sentencepiece.SentencePieceProcessor(model_file=vocabulary(PIECES))
 
 
-def test_sentencepiece_ids_and_round_trip(spark, model):
+def test_sentencepiece_ids_and_round_trip(spark, model, monkeypatch):
     rng = random.Random(6)
     rows = [*awkward(), *((50 + k, sentence(rng, 80, "xyz").replace(" la", "\nLA  ")) for k in range(20)), (90, "▁x ▁▁ y"), (91, "   lead and trail   ")]
     rows = [(d, t) for d, t in rows if d != 17]  # the library ends a text at NUL
-    ids = sentencepieces.encode(docs(spark, rows, extra=True), vocabulary(PIECES), common=60)
+    monkeypatch.setattr(sentencepieces, "BUNDLE", 4000)
+    monkeypatch.setattr(sentencepieces, "PART", 9000)
+    rows += [(60, "x" * 70 + " abc " + "long" * 16 + " " + "q" * 63), (61, "z" * 64 + "  " + "y" * 65)]
+    ids = sentencepieces.encode(docs(spark, rows, extra=True).repartition(3), vocabulary(PIECES))
     got = sentencepieces.decode(ids, vocabulary(PIECES)).collect()
     want = sorted(((d, model.encode(t or "")) for d, t in rows), key=repr)
     assert sorted(((r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in got), key=repr) == want

@@ -2,12 +2,14 @@
 
 import glob
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tests.llm.cases import awkward, docs, sentence
 
@@ -69,9 +71,10 @@ def test_added_tokens_are_the_unaltered_librarys(style, name):
 def test_token_files_round_trip(spark, coders, tmp_path):
     rows = awkward()
     path = f"file://{tmp_path}/files"
-    token_files.write_token_files(docs(spark, rows, extra=True).repartition(3), path, vocabulary(BYTE))
+    df = docs(spark, rows, extra=True)
+    token_files.write_token_files(df.repartition(3), path, vocabulary(BYTE))
     got = token_files.read_token_files(spark, path).orderBy("start").collect()
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    order = [(r.doc_id, r.text) for r in df.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).collect()]
     at = 0
     assert [r.doc_id for r in got] == [d for d, _ in order]
     for r, (_, text) in zip(got, order, strict=True):
@@ -198,6 +201,27 @@ def test_edits_recount_little(coders):
     assert tree.recounted <= 6 and tree.total == len(plain(coders["byte"], text[:9000] + "changed" + text[9004:]))
 
 
+def test_edits_next_to_each_other_recount_three_parts_each(coders):
+    """Once per edit, however many edits there are: forwards, backwards, and where parts appear and vanish."""
+    n = 4000
+    text = " ".join(f"name{k}@example.org" for k in range(n))
+    places = [m.span() for m in re.finditer(r"\S+", text)]
+    for order in (reversed(places), places):
+        tree, moved = token_counts.CountTree(text, coders["byte"]), 0
+        for s, e in order:
+            tree.edit(s + moved, e + moved, "[MASK]")
+            moved += 6 - (e - s) if order is places else 0
+        assert tree.recounted <= 3 * n and tree.text == " ".join(["[MASK]"] * n) and tree.total == len(plain(coders["byte"], tree.text))
+    rng, tree, want = random.Random(5), token_counts.CountTree(text[:3000], coders["byte"]), text[:3000]
+    for _ in range(300):
+        s = rng.randrange(len(want) + 1)
+        e, new = s + rng.choice([0, 3, 40, 700]), " ".join(["x\ny", "0", ""][k % 3] for k in range(rng.choice([0, 1, 9, 90])))
+        tree.edit(s, e, new)
+        want = want[:s] + new + want[e:]
+        assert tree.text == want
+    assert tree.total == len(plain(coders["byte"], want)) and max(map(len, tree.parts)) <= 2 * token_counts.BLOCK
+
+
 def test_count_edited(spark, coders):
     rows = [*awkward(), (30, "call 0123 456 789 0 or a.b+c@d.example now")]
     got = token_counts.count_edited(token_counts.masking_edits(docs(spark, rows, extra=True)), vocabulary(BYTE)).collect()
@@ -206,6 +230,26 @@ def test_count_edited(spark, coders):
     assert sorted(((r.doc_id, r.n_tokens, r.n_tokens_edited) for r in got), key=repr) == want
 
 
-def test_queries_write_below_the_shared_folder(spark):
+def test_queries_leave_only_their_results_in_the_shared_folder(spark, tmp_path):
     folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
-    assert glob.glob(f"{folder}/*") is not None and queries.vocabulary(BYTE)
+    docs(spark, awkward()).write.parquet(f"{tmp_path}/documents.parquet")
+    for query in (queries.op5_token_files, queries.op6_best_fit_packing):
+        before = set(glob.glob(f"{folder}/*"))
+        out = query(spark, str(tmp_path))
+        left = set(glob.glob(f"{folder}/*")) - before
+        assert {f.split("/stored-")[1].split("/")[0] for f in out.inputFiles()} == {f.split("/stored-")[1] for f in left}
+
+
+def test_packing_groups_stay_small_where_the_bound_cannot_be_met(spark, monkeypatch):
+    """Lengths of which three fit by their sum and two in fact: no exchange helps, and no task gets more than its groups."""
+    rng = random.Random(6)
+    sizes = [rng.randrange(690, 760) for _ in range(3000)]
+    pieces = spark.createDataFrame([(k, 0, s) for k, s in enumerate(sizes)], "doc_id long, piece int, length long")
+    monkeypatch.setattr(packing, "MOST", 4)
+    got = packing.pack(pieces, group=100).collect()
+    assert sorted(r.length for r in got) == sorted(sizes) and check_packing(got) >= packing.lower_bound(np.bincount(sizes, minlength=2049))
+    groups = {}
+    for r in got:
+        groups.setdefault(r.sequence_id >> 22, []).append(r)
+    assert max(map(len, groups.values())) <= 2 * packing.MOST * 100
+    assert all(r.group_bins >= r.group_bound for r in got)

@@ -1,11 +1,13 @@
 """A corpus pipeline of five stages, each on all that the one before kept.
 
-1. language_id: documents without a letter go, and those whose best language is hardly likelier than chance: a calibrated
-   probability under MIN_SCORE, or under MIN_RATIO times one out of the number of languages if that is less. The model learns
-   from the stage's own labelled documents, as op1 does; without any label only documents without a letter go.
+1. language_id: documents without a letter go, and those whose best language has a calibrated probability under MIN_SCORE. The
+   bound is low and the same for any number of languages, so that short texts and texts in two languages stay; where no language
+   reaches it, the text is of none of them. The model learns from the stage's own labelled documents, as op1 does; without any
+   label only documents without a letter go.
 2. ngram_join: documents whose sets of SHINGLE-word shingles have a similarity of PERCENT / 100 or more are linked; of each
    group of linked documents the one with the smallest doc_id stays; of equal rows one stays.
-3. suffix_dedup: byte strings that start elsewhere too are cut out; documents that lose all their bytes go.
+3. suffix_dedup: passages of more than WORDS words that stand elsewhere too are cut out: the runs of so many words that
+   repeated strings of PASSAGE bytes cover. Documents that lose all their bytes go.
 4. secret_scan: secrets are replaced by a mask.
 5. best_fit_packing: the documents' tokens in sequences of at most 2048.
 
@@ -20,10 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid, ngram_join, packing, secrets, suffix_dedup
-from tidemark.llm.common import fresh, prepare, stored, table
+from tidemark.llm.common import drop_stored, fresh, prepare, stored, table
 from tidemark.llm.queries import vocabulary
 
-MIN_SCORE, MIN_RATIO = 0.5, 1.2
+MIN_SCORE = 0.3
 #: Of the near-duplicate stage; op10's contract has its own.
 SHINGLE, PERCENT = 5, 80
 
@@ -41,8 +43,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     language, score = fresh(docs, "lang_pred", "score")
     found = langid.identify(docs, model, language=language, score=score)
     if model.languages:
-        least = min(MIN_SCORE, MIN_RATIO / len(model.languages))
-        good = (F.col(language) != langid.UNKNOWN) & (F.col(score) >= least)
+        good = (F.col(language) != langid.UNKNOWN) & (F.col(score) >= MIN_SCORE)
     else:
         good = F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}")
     return found.where(good).select(*docs.columns)
@@ -57,7 +58,7 @@ def ngram_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return _with_length(suffix_dedup.cleaned(docs))
+    return _with_length(suffix_dedup.cleaned(docs, suffix_dedup.PASSAGE, suffix_dedup.WORDS))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +69,9 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     pieces = stored(packing.token_pieces(docs, vocabulary("word_bpe_49k.json")))
-    return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    packed = packing.pack(pieces)
+    drop_stored(pieces)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -84,7 +87,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
+    docs, old = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if old is not None:
+            drop_stored(old)
+        old = docs
+    return docs

@@ -279,14 +279,12 @@ def model():
     return sentencepiece.SentencePieceProcessor(model_file=vocabulary(PIECES))
 
 
-def test_sentencepiece_ids_and_round_trip(spark, model, monkeypatch):
+def test_sentencepiece_ids_and_round_trip(spark, model):
     rng = random.Random(6)
     rows = [*awkward(), *((50 + k, sentence(rng, 80, "xyz").replace(" la", "\nLA  ")) for k in range(20)), (90, "▁x ▁▁ y"), (91, "   lead and trail   ")]
     rows = [(d, t) for d, t in rows if d != 17]  # the library ends a text at NUL
-    monkeypatch.setattr(sentencepieces, "BUNDLE", 4000)
-    monkeypatch.setattr(sentencepieces, "PART", 9000)
-    rows += [(60, "x" * 70 + " abc " + "long" * 16 + " " + "q" * 63), (61, "z" * 64 + "  " + "y" * 65)]
-    ids = sentencepieces.encode(docs(spark, rows, extra=True).repartition(3), vocabulary(PIECES))
+    rows += [(60, "x" * 70 + " abc " + "long" * 16 + " " + "q" * 63), (61, "z" * 48 + "  " + "y" * 49)]
+    ids = sentencepieces.encode(docs(spark, rows, extra=True).repartition(3), vocabulary(PIECES), common=60)
     got = sentencepieces.decode(ids, vocabulary(PIECES)).collect()
     want = sorted(((d, model.encode(t or "")) for d, t in rows), key=repr)
     assert sorted(((r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in got), key=repr) == want

@@ -25,11 +25,11 @@ def test_printed_form_parses_to_the_same_tree(query):
 
 
 ERRORS = [
-    ("", "empty query"), ("{", "unterminated selector"), ("up{", "unterminated selector"), ("up{job}", "expected one of"), ("up{job=api}", "expected a quoted string"), ("sum(", "unexpected"), ("rate(up)", "must be a range vector"),
-    ("sum(rate(up[5m])[5m])", "expected ) in aggregation"), ("up[5m] + 1", "cannot take a range vector"), ("1 + ", "unexpected"), ("topk(up)", "requires two arguments"), ("sum(1, up)", "single argument"), ("rate(up[5m], up[5m])", "takes 1 argument"),
-    ("nosuchfunc(up)", 'unknown function "nosuchfunc"'), ("1 == 1", "requires the bool modifier"), ("up + bool 1", "only valid on comparison"), ('{job=~".*"}', "does not match the empty string"), ("up[0s]", "must be positive"), ('"unterminated', "unterminated string"),
-    ("up @", "unexpected character"), ("up[1.5h]", "malformed duration"), ("up[5m:1m]", "expected a duration"), ("1 and up", "requires instant vectors"), ('-"x"', "cannot be applied"), ("topk(up, up)", "must be a scalar"), ("sum(1)", "requires an instant vector"),
-    ('a{b=~"(?=x)"}', "regexp"), ('a{b=~"("}', "regexp"), ("up up", "after a complete expression"), ("a ! b", "expected != or !~"), ("5minutes", "unexpected"),
+    ("", "empty query"), ("{", "no closing }"), ("up{", "no closing }"), ("up{job}", "followed by"), ("up{job=api}", "no quoted string"), ("sum(", "no expression begins"), ("rate(up)", "not a range vector"),
+    ("sum(rate(up[5m])[5m])", "aggregation: ) should stand here"), ("up[5m] + 1", "side of + is a range vector"), ("1 + ", "no expression begins"), ("topk(up)", "lacks its parameter"), ("sum(1, up)", "has no parameter"), ("rate(up[5m], up[5m])", "has 2 arguments, not 1"),
+    ("nosuchfunc(up)", "no function named 'nosuchfunc'"), ("1 == 1", "has to be == bool"), ("up + bool 1", "no comparison"), ('{job=~".*"}', "takes an empty value"), ("up[0s]", "holds nothing"), ('"unterminated', "string"),
+    ("up @", "character"), ("up[1.5h]", "duration"), ("up[5m:1m]", "range selector: a duration should stand here"), ("1 and up", "joins instant vectors only"), ('-"x"', "no meaning before"), ("topk(up, up)", "not a scalar"), ("sum(1)", "works on an instant vector"),
+    ('a{b=~"(?=x)"}', "bad pattern"), ('a{b=~"("}', "bad pattern"), ("up up", "the expression ends before"), ("a ! b", "!"), ("5minutes", "ends before"),
 ]
 
 

@@ -73,7 +73,7 @@ class Api:
         self.counts = {"samplesIngested": 0, "queriesRun": 0, "queryErrors": 0}
 
     def engine(self, first: int = MIN_TIME, last: int = MAX_TIME) -> Engine:
-        return Engine(self.store.samples(first, last), self.options)
+        return Engine(self.store.samples(first, last), self.options, self.store.series)
 
     def request(self, method: str, path: str, parameters: Parameters | None = None, body: bytes = b"") -> tuple[int, dict]:
         """Status and envelope: {"status": "success", "data"} or {"status": "error", "errorType", "error"}."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import threading
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
@@ -57,10 +57,14 @@ class Result:
 
 
 class Engine:
-    """samples: (metric, labels, t, v), one row for each series and time."""
+    """samples: (metric, labels, t, v), one row for each series and time.
 
-    def __init__(self, samples: DataFrame, options: Options | None = None):
-        self.samples, self.options = samples, options or Options()
+    known gives, for a range of time, rows (metric, labels, ...) of all series with samples in it, and maybe more; look-ups then read
+    samples only where a series' bounds leave open whether it has one in the range.
+    """
+
+    def __init__(self, samples: DataFrame, options: Options | None = None, known: Callable[[int, int], DataFrame] | None = None):
+        self.samples, self.options, self.known = samples, options or Options(), known
         self.spark = samples.sparkSession
 
     # queries
@@ -77,14 +81,14 @@ class Engine:
     def range(self, query: str | Node, start: int, end: int, step: int) -> Result:
         node = parse(query) if isinstance(query, str) else query
         if step <= 0:
-            raise InvalidRangeError(f"step must be positive, got {step}")
+            raise InvalidRangeError(f"a step of {step} leads nowhere")
         if end < start:
             raise InvalidRangeError(f"end {end} is before start {start}")
         steps = (end - start) // step + 1
         if steps > MOST_STEPS:
-            raise InvalidRangeError(f"{steps} steps requested, limit is {MOST_STEPS}; use a coarser step")
+            raise InvalidRangeError(f"{steps} steps are more than {MOST_STEPS}; take a longer step")
         if node.type in (ValueType.MATRIX, ValueType.STRING):
-            raise InvalidRangeError(f"a range query cannot evaluate {node.type.phrase}; wrap it in a function such as rate()")
+            raise InvalidRangeError(f"a range query gives a value at each step, and {node.type.phrase} has none")
         return self._run(node, Grid(start, start + (steps - 1) * step, step), ValueType.MATRIX.value)
 
     def plan(self, query: str | Node, start: int, end: int, step: int) -> DataFrame:
@@ -160,25 +164,34 @@ class Engine:
     def series(self, match: list[str], start: int = MIN_TIME, end: int = MAX_TIME) -> DataFrame:
         """Rows (labels), each once, of the series with samples from start to end that any of the selectors takes. Offsets are ignored."""
         if not match:
-            raise InvalidRangeError("at least one match[] parameter is required")
+            raise InvalidRangeError("which series? give match[] once or more")
         found = None
         for text in match:
             node = parse(text)
             if not isinstance(node, Selector) or node.range is not None:
-                raise ParseError(f"match[] must be a series selector, got {text!r}", 0, text)
-            part = matching(between(self.samples, start, end), node.matchers).select("labels")
-            found = part if found is None else found.unionByName(part)
+                raise ParseError(f"{text!r} in match[] is no selector of series", 0, text)
+            parts = [matching(between(self.samples, start, end), node.matchers).select("labels")]
+            if self.known is not None:
+                series = matching(self.known(start, end), node.matchers)
+                inside = (F.col("first") >= start) | (F.col("last") <= end)  # its first or last sample is in the range
+                open_ = series.where(~inside).select("labels").distinct()
+                parts = [series.where(inside).select("labels"), parts[0].join(open_, "labels", "left_semi")] if (start, end) != (MIN_TIME, MAX_TIME) else [series.select("labels")]
+            for part in parts:
+                found = part if found is None else found.unionByName(part)
         return found.distinct()
 
     def label_names(self) -> DataFrame:
-        return self.samples.select(F.explode("labels.name").alias("name")).distinct().orderBy("name")
+        return self._every_series().select(F.explode("labels.name").alias("name")).distinct().orderBy("name")
 
     def label_values(self, name: str, match: list[str] | None = None) -> DataFrame:
         if not valid_label_name(name):
             raise InvalidRangeError(f"{name!r} is not a valid label name")
-        rows = self.series(match) if match else self.samples
+        rows = self.series(match) if match else self._every_series()
         return rows.select(F.explode("labels").alias("l")).where(F.col("l.name") == name).select(F.col("l.value").alias("value")).distinct().orderBy("value")
 
+    def _every_series(self) -> DataFrame:
+        return self.samples if self.known is None else self.known(MIN_TIME, MAX_TIME)
+
     @staticmethod
     def functions() -> list[str]:
         return sorted(FUNCTIONS)

@@ -5,6 +5,12 @@ doesn't change under it, and a write that dies before its manifest leaves nothin
 accepted batches (the head); flush() turns what is old enough into blocks of level 1, aligned to the block's duration;
 compact() merges blocks; retain() drops old ones. Blocks are in the order of their creation: where two hold the same series
 and time, the later block counts.
+
+A block that was replaced or dropped is only marked so. Its files stay for `grace` milliseconds, so that frames which were
+made before still read it, and are deleted by the next change or clean() after that; a frame is to be read within that time.
+
+Beside its samples a block has a table of its series (metric, labels, first and last time, newest time). Look-ups of series and
+labels, and the newest times that new samples must exceed, read these tables: rows in number of series, not of samples.
 """
 
 from __future__ import annotations
@@ -13,10 +19,10 @@ import json
 import threading
 import time
 import uuid
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,6 +33,10 @@ from .requests import MOST_ERRORS, as_samples, request_rows
 HOUR = 3_600_000
 # fixed values: duration of a block, and the ladder of durations that blocks are merged to
 BLOCK = 2 * HOUR
+#: Numbers of samples whose order is checked in one task, where a batch is split.
+RUN = 1 << 20
+#: How long the files of a replaced block stay, in milliseconds.
+GRACE = 15 * 60_000
 LADDER = (2 * HOUR, 6 * HOUR, 18 * HOUR, 54 * HOUR, 162 * HOUR, 486 * HOUR)
 
 
@@ -42,6 +52,8 @@ class Block:
     parents: list[str] = field(default_factory=list)
     sources: list[str] = field(default_factory=list)
     seq: int = 0
+    #: When it was replaced or dropped (milliseconds since 1970); None while it counts.
+    gone: int | None = None
 
 
 @dataclass
@@ -90,14 +102,27 @@ def later_wins(samples: DataFrame, order: str = "seq") -> DataFrame:
     return samples.groupBy("labels", "t").agg(F.first("metric").alias("metric"), F.max_by("v", order).alias("v")).select("metric", "labels", "t", "v")
 
 
-def in_order(samples: DataFrame, newest: DataFrame | None, floor: int, order: str = "seq") -> DataFrame:
+def _split_running(samples: DataFrame, good: Column, order: str, run: Column) -> DataFrame:
+    """before_: the greatest good time of all earlier samples of the series, within the run and by the maxima of earlier runs."""
+    within = Window.partitionBy("labels", "run_").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = samples.withColumn("run_", run)
+    tops = rows.groupBy("labels", "run_").agg(F.max(good).alias("top_"))
+    earlier = Window.partitionBy("labels").orderBy("run_").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("labels", "run_", F.max("top_").over(earlier).alias("runs_"))
+    rows = rows.withColumn("before_", F.max(good).over(within)).join(tops, ["labels", "run_"], "left")
+    return rows.withColumn("before_", F.greatest("before_", "runs_")).drop("run_", "runs_")
+
+
+def in_order(samples: DataFrame, newest: DataFrame | None, floor: int, order: str = "seq", runs: Column | None = None) -> DataFrame:
     """samples with reason set where t is below the floor, or not above all earlier samples of its series.
 
     newest: (labels, newest) of what is stored. A sample that is refused doesn't move the newest time, as it lies at or below it.
+    runs: a column that grows with the order. It cuts a series into runs, of which each task holds one, so that a series with very
+    many samples in one batch is no task of its own.
     """
     window = Window.partitionBy("labels").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     good = F.when(F.col("reason").isNull(), F.col("t"))
-    rows = samples.withColumn("before_", F.max(good).over(window))
+    rows = samples.withColumn("before_", F.max(good).over(window)) if runs is None else _split_running(samples, good, order, runs)
     rows = rows.join(newest, "labels", "left") if newest is not None else rows.withColumn("newest", F.lit(None).cast("long"))
     limit = F.greatest("before_", "newest")
     late = F.when(F.col("t") < floor, F.lit("sample is older than the head's floor")).when(F.col("t") <= limit, F.lit("out of order sample"))
@@ -115,12 +140,14 @@ def observed(seen: Observation) -> dict | None:
 class Store:
     """One writer at a time."""
 
-    def __init__(self, spark: SparkSession, path: str, block: int = BLOCK, ladder: tuple[int, ...] = LADDER, retention: int | None = None):
-        self.spark, self.path, self.block, self.ladder, self.retention = spark, path.rstrip("/"), block, ladder, retention
+    def __init__(self, spark: SparkSession, path: str, block: int = BLOCK, ladder: tuple[int, ...] = LADDER, retention: int | None = None, grace: int = GRACE):
+        self.spark, self.path, self.block, self.ladder, self.retention, self.grace = spark, path.rstrip("/"), block, ladder, retention, grace
         self._lock = threading.RLock()
         self._closed = False
         self.version, state = self._newest()
-        self.blocks = [Block(**b) for b in state.get("blocks", [])]
+        every = [Block(**b) for b in state.get("blocks", [])]
+        self.blocks = [b for b in every if b.gone is None]
+        self.old = [b for b in every if b.gone is not None]
         self.floor: int = state.get("floor", MIN_TIME)
         self._seq: int = state.get("seq", 0)
         self._done: list = state.get("batches", [])
@@ -143,14 +170,34 @@ class Store:
 
     def _publish(self) -> None:
         self.version += 1
-        state = {"blocks": [asdict(b) for b in self.blocks], "floor": self.floor, "seq": self._seq, "batches": self._done[-100:]}
+        late = [b for b in self.old if b.gone <= self._now() - self.grace]
+        self.old = [b for b in self.old if b not in late]
+        state = {"blocks": [asdict(b) for b in [*self.blocks, *self.old]], "floor": self.floor, "seq": self._seq, "batches": self._done[-100:]}
         row = self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1)
         row.write.mode("overwrite").text(f"{self.path}/manifest/{self.version}")
-
-    def _delete(self, blocks: list[Block]) -> None:
-        for b in blocks:
-            fs, p = self._fs(f"{self.path}/blocks/{b.id}")
-            fs.delete(p, True)
+        for b in late:
+            for kind in ("blocks", "series"):
+                fs, p = self._fs(f"{self.path}/{kind}/block_id={b.id}")
+                fs.delete(p, True)
+
+    @staticmethod
+    def _now() -> int:
+        return int(time.time() * 1000)
+
+    def _retire(self, blocks: list[Block]) -> None:
+        """Marks blocks as replaced or dropped from now on; to be published."""
+        ids = {b.id for b in blocks}
+        self.blocks = [b for b in self.blocks if b.id not in ids]
+        self.old += [replace(b, gone=self._now()) for b in blocks]
+
+    def clean(self) -> int:
+        """Delete the files of blocks that went longer than the grace time ago; how many blocks."""
+        self._open()
+        with self._lock:
+            before = len(self.old)
+            if any(b.gone <= self._now() - self.grace for b in self.old):
+                self._publish()
+            return before - len(self.old)
 
     def _open(self) -> None:
         if self._closed:
@@ -163,8 +210,8 @@ class Store:
 
     def _write(self, samples: DataFrame, level: int, parents: list[Block]) -> Block | None:
         """A new block of samples, partitioned by time and sorted by series; None if there are none. Its bounds are observed as it is written."""
-        id_ = f"{int(time.time() * 1000):013d}-{uuid.uuid4().hex[:12]}"
-        path = f"{self.path}/blocks/{id_}"
+        id_ = f"{self._now():013d}-{uuid.uuid4().hex[:12]}"
+        path = f"{self.path}/blocks/block_id={id_}"
         start = F.col("t") - F.pmod("t", F.lit(self.block).cast("long"))
         seen = Observation()
         rows = samples.observe(seen, F.min("t").alias("min"), F.max("t").alias("max"), F.count(F.lit(1)).alias("n")).select("metric", "labels", "t", "v", start.alias("block_start"))
@@ -178,22 +225,34 @@ class Store:
             fs, p = self._fs(path)
             fs.delete(p, True)
             return None
+        held = self.spark.read.schema(SAMPLES_SCHEMA).parquet(path)
+        series = held.groupBy("labels").agg(F.first("metric").alias("metric"), F.min("t").alias("first"), F.max("t").alias("last"))
+        series.select("metric", "labels", "first", "last").write.parquet(f"{self.path}/series/block_id={id_}")
         self._seq += 1
         sources = sorted({s for b in parents for s in (b.sources or [b.id])}) or [id_]
         return Block(id_, row["min"], row["max"], row["n"], level, [b.id for b in parents], sources, self._seq)
 
     def _read(self, blocks: list[Block]) -> DataFrame:
-        """Rows (metric, labels, t, v, block_start, seq) of some blocks, by one scan: seq is looked up from the file's path."""
-        schema = "metric string, labels array<struct<name:string,value:string>>, t long, v double, block_start long"
+        """Rows (metric, labels, t, v, block_start, seq) of some blocks, by one scan; seq comes from the folder that names the block."""
+        return self._scan("blocks", "metric string, labels array<struct<name:string,value:string>>, t long, v double, block_start long", blocks)
+
+    def _scan(self, kind: str, schema: str, blocks: list[Block]) -> DataFrame:
+        """The files of some blocks by one scan, with the blocks' seq."""
         if not blocks:
             return self.spark.createDataFrame([], schema + ", seq long")
-        root = f"{self.path}/blocks"
-        every = self.spark.read.schema(schema).option("basePath", root).option("recursiveFileLookup", "false")
-        out = None
-        for b in blocks:
-            part = every.option("basePath", f"{root}/{b.id}").parquet(f"{root}/{b.id}").withColumn("seq", F.lit(b.seq).cast("long"))
-            out = part if out is None else out.unionByName(part)
-        return out
+        root = f"{self.path}/{kind}"
+        rows = self.spark.read.schema(schema + ", block_id string").option("basePath", root).parquet(*[f"{root}/block_id={b.id}" for b in blocks])
+        if len(blocks) == 1:
+            return rows.drop("block_id").withColumn("seq", F.lit(blocks[0].seq).cast("long"))
+        seqs = self.spark.createDataFrame([(b.id, b.seq) for b in blocks], "block_id string, seq long")  # a row a block, as in the manifest
+        return rows.join(F.broadcast(seqs), "block_id").drop("block_id")
+
+    def series(self, first: int = MIN_TIME, last: int = MAX_TIME) -> DataFrame:
+        """Rows (metric, labels, first, last) of each series' samples in each block that overlaps the range; samples aren't read."""
+        self._open()
+        blocks = [b for b in self.blocks if b.min_time <= last and b.max_time >= first]
+        rows = self._scan("series", "metric string, labels array<struct<name:string,value:string>>, first long, last long", blocks)
+        return rows.where((F.col("first") <= last) & (F.col("last") >= first)).drop("seq")
 
     def samples(self, first: int = MIN_TIME, last: int = MAX_TIME) -> DataFrame:
         """Rows (metric, labels, t, v) from first to last: a snapshot of the blocks that now overlap the range.
@@ -212,18 +271,20 @@ class Store:
 
     # writing
 
-    def ingest(self, rows: DataFrame, batch: str | None = None) -> Written:
+    def ingest(self, rows: DataFrame, batch: str | None = None, split: bool = False) -> Written:
         """Store the good samples of rows (labels map, t, v, seq) and say why others were not taken.
 
-        batch names a batch of a stream: one that was stored already counts nothing again.
+        batch names a batch of a stream: one that was stored already counts nothing again. split: for batches in which one series may
+        have very many samples; seq is then a number, and the order is checked in runs of RUN of it.
         """
         self._open()
         with self._lock:
             if batch is not None and batch in self._done:
                 return Written(0, 0, [])
             heads = [b for b in self.blocks if b.level == 0]
-            newest = self._read(heads).groupBy("labels").agg(F.max("t").alias("newest")) if heads else None
-            checked = in_order(as_samples(rows), newest, self.floor)
+            newest = self._scan("series", "labels array<struct<name:string,value:string>>, last long", heads).groupBy("labels").agg(F.max("last").alias("newest")) if heads else None
+            runs = F.floor(F.col("seq") / RUN) if split else None
+            checked = in_order(as_samples(rows), newest, self.floor, runs=runs)
             seen = Observation()
             counted = [F.count(F.when(F.col("reason").isNull(), 1)).alias("good"), F.count("reason").alias("bad")]
             block = self._write(checked.observe(seen, *counted).where("reason is null"), 0, [])
@@ -232,7 +293,7 @@ class Store:
                 refused = checked.where("reason is not null").orderBy("seq").limit(MOST_ERRORS + 1)
                 errors = [f"{r['reason']} (at {r['t']})" for r in refused.select("reason", "t").collect()]
                 if len(errors) > MOST_ERRORS:
-                    errors = [*errors[: MOST_ERRORS - 1], "... further errors suppressed"]
+                    errors = [*errors[: MOST_ERRORS - 1], "and more that aren't listed"]
             if batch is not None:
                 self._done.append(batch)
             if block or batch is not None:
@@ -260,10 +321,10 @@ class Store:
             rows = later_wins(self._read(heads))
             block = self._write(rows.where(F.col("t") < boundary), 1, [])
             rest = self._write(rows.where(F.col("t") >= boundary), 0, []) if boundary <= most else None
-            self.blocks = [b for b in self.blocks if b.level] + [b for b in (block, rest) if b]
+            self._retire(heads)
+            self.blocks += [b for b in (block, rest) if b]
             self.floor = max(self.floor, boundary)
             self._publish()
-            self._delete(heads)
             return block
 
     def compact(self) -> Block | None:
@@ -274,30 +335,29 @@ class Store:
             if not group:
                 return None
             block = self._write(later_wins(self._read(group)), max(b.level for b in group) + 1, group)
-            ids = {b.id for b in group}
             block.seq = max(b.seq for b in group)  # later blocks outside the group still win
-            self.blocks = [b for b in self.blocks if b.id not in ids] + [block]
+            self._retire(group)
+            self.blocks.append(block)
             self._publish()
-            self._delete(group)
             return block
 
     def retain(self, now: int) -> int:
-        """Delete the blocks that end before now less the retention; how many."""
+        """Drop the blocks that end before now less the retention; how many."""
         self._open()
         if self.retention is None or self.retention <= 0:
             return 0
         with self._lock:
             old = [b for b in self.blocks if b.level and b.max_time < now - self.retention]
             if old:
-                self.blocks = [b for b in self.blocks if b not in old]
+                self._retire(old)
                 self._publish()
-                self._delete(old)
             return len(old)
 
     def maintain(self, now: int) -> None:
         self.flush()
         self.compact()
         self.retain(now)
+        self.clean()
 
     def force_compact(self) -> Block | None:
         self.flush(everything=True)

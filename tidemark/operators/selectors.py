@@ -8,6 +8,7 @@ series than the grid has steps or panes, however many samples one series has.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -47,22 +48,23 @@ def instant(samples: DataFrame, matchers: Iterable[Matcher], grid: Grid, lookbac
     return served.select("labels", "v", F.explode(F.sequence("k", "last")).alias("k")).select(grid.time(F.col("k")).alias("ts"), "labels", "v")
 
 
-def pane_width(grid: Grid, width: int) -> int:
-    import math
+def pane_width(grid: Grid, width: int, least: int = 1) -> int:
+    """A common divisor of step and range, the greatest that gives a window `least` panes or more where there is one."""
+    common = math.gcd(grid.step, width) if grid.last else width
+    parts = next((n for n in range(1, min(common, 4 * least) + 1) if common % n == 0 and width * n >= least * common), 1)
+    return common // parts
 
-    return math.gcd(grid.step, width) if grid.last else width
 
-
-def panes(samples: DataFrame, matchers: Iterable[Matcher], grid: Grid, width: int, offset: int) -> DataFrame:
+def panes(samples: DataFrame, matchers: Iterable[Matcher], grid: Grid, width: int, offset: int, least: int = 1) -> DataFrame:
     """Samples (labels, t, v, p) of a range selector with the pane p of each: (origin + (p-1)*w, origin + p*w], origin the first step less the offset."""
     rows = matching(between(samples, grid.start - offset - width + 1, grid.end - offset), matchers)
-    p = ceil_div(F.col("t") - F.lit(grid.start - offset).cast("long"), pane_width(grid, width))
+    p = ceil_div(F.col("t") - F.lit(grid.start - offset).cast("long"), pane_width(grid, width, least))
     return rows.select("labels", "t", "v", p.alias("p"))
 
 
-def windows_of(grid: Grid, width: int) -> Column:
+def windows_of(grid: Grid, width: int, least: int = 1) -> Column:
     """The steps whose window holds pane p, exploded: window k has the panes from k*step - width (open) to k*step."""
-    w = pane_width(grid, width)
+    w = pane_width(grid, width, least)
     first = F.greatest(F.lit(0).cast("long"), ceil_div(F.col("p") * F.lit(w).cast("long"), grid.step))
     last = F.least(F.lit(grid.last).cast("long"), floor_div((F.col("p") - 1) * F.lit(w).cast("long") + F.lit(width).cast("long"), grid.step))
     return F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>")))

@@ -20,15 +20,26 @@ from .selectors import panes, windows_of
 
 NEIGHBOURS = frozenset({"rate", "increase", "irate", "idelta", "resets", "changes"})
 SPREAD = frozenset({"stddev_over_time", "stdvar_over_time"})
+#: Panes of a window at least, for functions that sort the samples of a pane: an instant query would have one pane otherwise.
+NARROW = 16
 
 
 def window_function(name: str, samples: DataFrame, matchers: Iterable[Matcher], grid: Grid, width: int, offset: int) -> DataFrame:
     """Rows (ts, labels, v) of one function over the windows of width ms, open at their start."""
-    rows = panes(samples, matchers, grid, width, offset)
-    step = windows_of(grid, width)
+    least = NARROW if name in NEIGHBOURS else 1
+    rows = panes(samples, matchers, grid, width, offset, least)
+    step = windows_of(grid, width, least)
     if name in SPREAD:
-        of = F.stddev_pop if name == "stddev_over_time" else F.var_pop
-        return rows.select("labels", "v", step.alias("k")).groupBy("labels", "k").agg(of("v").alias("v")).select(grid.time(F.col("k")).alias("ts"), "labels", "v")
+        each = rows.groupBy("labels", "p").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.var_pop("v").alias("var"))
+        window = each.select("labels", "n", "mean", "var", step.alias("k"))
+        # the variance is the mean of the panes' variances and the variance of their means, both weighted by samples
+        key, n = ["labels", "k"], F.col("n").cast("double")
+        middle = window.groupBy(*key).agg((F.sum(n * F.col("mean")) / F.sum(n)).alias("middle"))
+        apart = F.col("mean") - F.col("middle")
+        apart = F.when(F.col("mean") == F.col("middle"), 0.0).otherwise(apart)
+        merged = window.join(middle, key).groupBy(*key).agg((F.sum(n * (F.col("var") + apart * apart)) / F.sum(n)).alias("var"))
+        v = F.sqrt("var") if name == "stddev_over_time" else F.col("var")
+        return merged.select(grid.time(F.col("k")).alias("ts"), "labels", v.alias("v"))
     summaries = _with_neighbours(rows) if name in NEIGHBOURS else _plain(rows)
     window = summaries.select("labels", "p", *[c for c in summaries.columns if c not in ("labels", "p")], step.alias("k"))
     ts = grid.time(F.col("k"))

@@ -11,7 +11,7 @@ from tidemark import queries as series
 SF = os.environ.get("CONTRACT_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
 #: A key of each kind; CONTRACT_ALL=1 takes all of them.
-SOME = ["sel_offset", "sel_nre", "rate_reset", "irate", "changes", "stddev_over_time", "fn_round_to", "agg_topk", "agg_quantile", "bin_vector_filter", "set_or", "sel_range_long", "ingest_reject_out_of_order", "retention", "meta_label_values"]
+SOME = ["sel_offset", "sel_nre", "rate_reset", "irate", "changes", "stddev_over_time", "fn_round_to", "agg_topk", "agg_quantile", "bin_vector_filter", "set_or", "sel_range_long", "ingest_reject_out_of_order", "retention", "meta_label_values", "flushed_blocks", "flushed_samples", "compaction_plan", "compacted", "write_request", "match_errors"]
 
 
 @pytest.fixture(scope="module")

@@ -6,22 +6,26 @@ four decimals (after adding NUDGE, as the two sides add up in another order and
 
 from __future__ import annotations
 
+import json
+import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine, Options
+from .errors import ParseError
 from .model import get_label
 from .sources import store, tables
 
 DAY = 86_400_000
 STEP = 6 * 3_600_000
-START, END = 1_704_153_600_000, 1_706_486_400_000
+START, END = 1_704_153_600_000, 1_706_745_600_000
 #: Orders and line items span years.
 NUDGE = 1.234567e-6
-LONG_START, LONG_END, LONG_STEP, LONG_WINDOW = 788_918_400_000, 978_307_200_000, 30 * DAY, 60 * DAY
+LONG_START, LONG_END, LONG_STEP, LONG_WINDOW = 788_918_400_000, 1_009_843_200_000, 30 * DAY, 60 * DAY
 
 #: Samples of each series set, in SQL.
 SAMPLES = {
@@ -233,24 +237,115 @@ def ingest_reject_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select("event_id", F.coalesce("reason", F.lit("ok")).alias("reason"))
 
 
-def compaction_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples of each aligned window of the ladder."""
-    rows = tables.events_by_type(spark, sf_dir)
-    sizes = F.explode(F.array(*[F.lit(x).cast("long") for x in store.LADDER])).alias("size")
-    each = rows.select("t", sizes).select("size", (F.col("t") - F.pmod("t", F.col("size"))).alias("window_start"))
-    return each.groupBy("size", "window_start").agg(F.count(F.lit(1)).alias("n"))
+def _new_store(spark: SparkSession, **options) -> store.Store:
+    """An empty store in the folder that driver and executors share; a local session without one gets a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+    return store.Store(spark, f"{folder.rstrip('/')}/store-{uuid.uuid4().hex}", **options)
+
+
+def _as_rows(samples: DataFrame, seq: Column) -> DataFrame:
+    """Samples as rows to ingest (labels map, t, v, seq)."""
+    return samples.select(F.map_from_entries("labels").alias("labels"), "t", "v", seq.alias("seq"))
+
+
+def _stored_week(spark: SparkSession, sf_dir: str, **options) -> store.Store:
+    """The events in three batches, by START plus 8 and 16 days; after each the head is flushed as far as whole days go."""
+    samples = tables.events_by_type(spark, sf_dir)
+    kept = _new_store(spark, block=DAY, ladder=(DAY, 3 * DAY, 9 * DAY, 27 * DAY), **options)
+    bounds = [START, START + 8 * DAY, START + 16 * DAY, END]
+    for first, last in zip(bounds[:-1], bounds[1:], strict=True):
+        kept.ingest(_as_rows(samples.where((F.col("t") >= first) & (F.col("t") < last)), F.col("t")), split=True)
+        kept.flush()
+    return kept
+
+
+def _listed(spark: SparkSession, blocks: list[store.Block]) -> DataFrame:
+    """Blocks as rows: bounds, samples, level, parents and sources in number."""
+    return spark.createDataFrame([(b.min_time, b.max_time, b.samples, b.level, len(b.parents)) for b in blocks], "min_time long, max_time long, samples long, level int, parents int")
+
+
+def flushed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Head and blocks after three batches and flushes (level 0 is the head)."""
+    return _listed(spark, _stored_week(spark, sf_dir).blocks)
+
+
+def flushed_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All samples of a store whose blocks were flushed, merged and dropped since the frame was made: a snapshot stays readable."""
+    kept = _stored_week(spark, sf_dir, retention=DAY)
+    rows = kept.samples()
+    kept.force_compact()
+    kept.retain(END + 100 * DAY)
+    return rows.select(get_label(F.col("labels"), "event_type").alias("event_type"), "t", F.round("v", 4).alias("v"))
+
+
+def compaction_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each block of a store with one block a day is named by the next plan: the first run of one window that fills it by half."""
+    samples = tables.events_by_type(spark, sf_dir)
+    days = samples.groupBy((F.col("t") - F.pmod("t", F.lit(DAY))).alias("day")).agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count(F.lit(1)).alias("n"))
+    blocks = [store.Block(str(r["day"]), r["a"], r["b"], r["n"]) for r in days.collect()]  # a row a day
+    named = {b.id for b in store.plan_compaction(blocks, (9 * DAY, 27 * DAY))}
+    return spark.createDataFrame([(int(b.id), b.samples, b.id in named) for b in blocks], "day long, samples long, named boolean")
+
+
+def compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one compaction makes of the flushed blocks: the merged block with its level and lineage beside the head."""
+    kept = _stored_week(spark, sf_dir)
+    late = tables.events_by_type(spark, sf_dir).where((F.col("t") >= START + 2 * DAY) & (F.col("t") < START + 4 * DAY)).withColumn("v", F.col("v") + 1)
+    block = kept._write(late, 1, [])
+    kept.blocks.append(block)
+    kept.compact()
+    rows = kept.samples()
+    out = rows.groupBy(get_label(F.col("labels"), "event_type").alias("event_type")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 2).alias("total"))
+    merged = max(kept.blocks, key=lambda b: b.level)
+    return out.withColumns({"level": F.lit(merged.level), "parents": F.lit(len(merged.parents)), "sources": F.lit(len(merged.sources))})
 
 
 def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of two-hour blocks that end ten days or less before the last sample."""
-    rows = tables.events_by_type(spark, sf_dir).withColumn("block", F.col("t") - F.pmod("t", F.lit(store.BLOCK).cast("long")))
-    blocks = rows.groupBy("block").agg(F.max("t").alias("max_t"), F.count(F.lit(1)).alias("n"))
-    last = blocks.agg(F.max("max_t").alias("last"))
-    return blocks.join(F.broadcast(last), F.col("max_t") >= F.col("last") - 10 * DAY).select("block", "max_t", "n")
+    """Blocks that are left by a retention of ten days when ten days after the second batch's end have passed."""
+    kept = _stored_week(spark, sf_dir, retention=10 * DAY)
+    kept.retain(START + 18 * DAY + 1)
+    return _listed(spark, kept.blocks)
+
+
+def write_request(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as a JSON write request, of which the samples with an even region key come a second time and are refused."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").collect()  # 25 rows
+    series = [{"labels": {"__name__": "nation", "name": r["n_name"].strip()}, "samples": [{"t": 1000 + r["n_regionkey"], "v": r["n_nationkey"]}] * (2 - r["n_regionkey"] % 2)} for r in nations]
+    kept = _new_store(spark)
+    done = kept.write_request(json.dumps({"series": series}).encode())
+    rows = kept.samples().select(get_label(F.col("labels"), "name").alias("name"), "t", "v")
+    return rows.withColumns({"accepted": F.lit(done.accepted), "rejected": F.lit(done.rejected)})
+
+
+def match_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which expressions are refused: many-to-many matches when they run, selectors that would take any series when they are read."""
+    engine = Engine(tables.events_value(spark, sf_dir), Options(lookback=40 * DAY))
+    texts = ["events_value + on (event_type) events_value", "events_value + events_value", "sum by (event_type) (events_value) * on (event_type) events_value", '{event_type=~".*"}', '{event_type!="x"}', '{event_type="click"}']
+    out = []
+    for text in texts:
+        try:
+            engine.plan(text, END, END, STEP).agg(F.count("v")).collect()
+            out.append((text, "ok"))
+        except ParseError:
+            out.append((text, "not read"))
+        except Exception as e:
+            if "many-to-many" not in str(e):
+                raise
+            out.append((text, "many-to-many"))
+    return spark.createDataFrame(out, "query string, outcome string")
 
 
 _VALUES = f"({SAMPLES['events_value']})"
 _BY_TYPE = f"({SAMPLES['events_type_value']})"
+#: Three batches; each flush takes the head up to the last whole day and leaves the rest as the head of the next.
+_BLOCKS = f"""WITH s AS (SELECT t FROM {_BY_TYPE} WHERE t >= {START} AND t < {END}),
+b AS (SELECT max(t) FILTER (t < {START + 8 * DAY}) // {DAY} * {DAY} AS x, max(t) FILTER (t < {START + 16 * DAY}) // {DAY} * {DAY} AS y, max(t) // {DAY} * {DAY} AS z FROM s)
+SELECT min(t) AS min_time, max(t) AS max_time, count(*) AS samples, CASE WHEN t < z THEN 1 ELSE 0 END AS level, 0 AS parents
+FROM s, b GROUP BY t < x, t < y, t < z, level"""
 OTHER: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "sel_range_long": (
         sel_range_long,
@@ -268,8 +363,25 @@ OTHER: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         ingest_reject_out_of_order,
         f"SELECT event_id, CASE WHEN t < {START} THEN 'sample is older than the head''s floor' WHEN t <= m THEN 'out of order sample' ELSE 'ok' END AS reason FROM (SELECT event_id, epoch_us(ts) // 1000 AS t, max(epoch_us(ts) // 1000) OVER (PARTITION BY event_type ORDER BY user_id % 7, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM events)",
     ),
-    "compaction_windows": (compaction_windows, f"SELECT size, t - t % size AS window_start, count(*) AS n FROM {_BY_TYPE}, (SELECT unnest([7200000, 21600000, 64800000, 194400000, 583200000, 1749600000]) AS size) GROUP BY ALL"),
-    "retention": (retention, f"WITH b AS (SELECT t - t % 7200000 AS block, max(t) AS max_t, count(*) AS n FROM {_BY_TYPE} GROUP BY ALL) SELECT block, max_t, n FROM b WHERE max_t >= (SELECT max(max_t) FROM b) - {10 * DAY}"),
+    "flushed_blocks": (flushed_blocks, _BLOCKS),
+    "flushed_samples": (flushed_samples, f"SELECT event_type, t, round(v, 4) AS v FROM {_BY_TYPE} WHERE t >= {START}"),
+    "compaction_plan": (
+        compaction_plan,
+        f"WITH b AS (SELECT t - t % {DAY} AS day, min(t) AS a, max(t) AS b, count(*) AS n FROM {_BY_TYPE} GROUP BY ALL), w AS (SELECT *, a // {9 * DAY} AS g FROM b), due AS (SELECT g, count(*) AS k, sum(b - a) AS filled FROM w GROUP BY g HAVING count(*) > 1 AND sum(b - a) >= {9 * DAY // 2}) SELECT day, n AS samples, g = (SELECT min(g) FROM due) AS named FROM w",
+    ),
+    "compacted": (
+        compacted,
+        f"SELECT event_type, count(*) AS n, round(sum(CASE WHEN t >= {START + 2 * DAY} AND t < {START + 4 * DAY} THEN v + 1 ELSE v END), 2) AS total, 2 AS level, 2 AS parents, 2 AS sources FROM {_BY_TYPE} WHERE t >= {START} GROUP BY ALL",
+    ),
+    "retention": (retention, f"SELECT * FROM ({_BLOCKS}) WHERE level = 0 OR max_time >= {START + 8 * DAY + 1}"),
+    "write_request": (
+        write_request,
+        "SELECT trim(n_name) AS name, CAST(1000 + n_regionkey AS BIGINT) AS t, CAST(n_nationkey AS DOUBLE) AS v, (SELECT CAST(count(*) AS INTEGER) FROM nation) AS accepted, (SELECT CAST(count(*) AS INTEGER) FROM nation WHERE n_regionkey % 2 = 0) AS rejected FROM nation",
+    ),
+    "match_errors": (
+        match_errors,
+        "SELECT unnest(['events_value + on (event_type) events_value', 'events_value + events_value', 'sum by (event_type) (events_value) * on (event_type) events_value', '{event_type=~\".*\"}', '{event_type!=\"x\"}', '{event_type=\"click\"}']) AS query, unnest(['many-to-many', 'ok', 'many-to-many', 'not read', 'not read', 'ok']) AS outcome",
+    ),
 }
 
 

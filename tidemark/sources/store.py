@@ -215,7 +215,7 @@ class Store:
         start = F.col("t") - F.pmod("t", F.lit(self.block).cast("long"))
         seen = Observation()
         rows = samples.observe(seen, F.min("t").alias("min"), F.max("t").alias("max"), F.count(F.lit(1)).alias("n")).select("metric", "labels", "t", "v", start.alias("block_start"))
-        rows.repartition("block_start", F.pmod(F.xxhash64("labels"), F.lit(16))).sortWithinPartitions("block_start", "labels", "t").write.partitionBy("block_start").parquet(path)
+        rows.repartition("block_start", F.pmod(F.xxhash64("labels"), F.lit(16))).sortWithinPartitions("block_start", "labels", "t").write.partitionBy("block_start").option("compression", "zstd").parquet(path)
         row = observed(seen)
         if row is None:
             fs, p = self._fs(path)

@@ -50,7 +50,7 @@ LENGTH, PASSAGE, SPREAD, WORDS = 400, 200, 128, 50
 #: Bits of the map that says which texts may have a repeat; a bit too many costs time only.
 MARK_BITS = 1 << 23
 #: Classes of one trigger string that are sorted in one task, and contexts that are sorted at once.
-MOST_CLASSES, TOGETHER = 1 << 16, 1 << 13
+MOST_CLASSES, TOGETHER = 1 << 12, 1 << 13
 WHOLE, ENDS, HOT = 1, 2, 4
 _BITS = 3
 _ROLLING: list[Rolling] = []

@@ -89,9 +89,9 @@ def thue_morse(n):
     return "".join("ab"[k.bit_count() % 2] for k in range(1 << n))
 
 
-@pytest.mark.parametrize("copies,most", [(1, 1 << 16), (3, 1)])
+@pytest.mark.parametrize("copies,most", [(1, 1 << 16), (3, 1), (1, 2)])
 def test_suffix_dedup(spark, monkeypatch, copies, most):
-    """With all trigger strings sorted, and with all beyond the bound of classes."""
+    """With all trigger strings sorted, with all beyond the bound of classes, and with some halves sorted."""
     monkeypatch.setattr(suffix_dedup, "MOST_CLASSES", most)
     texts = [t for t in repeat_texts() for _ in range(copies if t and t.startswith("z") else 1)]
     raw = [(t or "").encode() for t in texts]
@@ -119,6 +119,24 @@ def test_shared_places_against_brute_force():
         assert suffix_dedup.shared_places(shape, group, before, behind).tolist() == want
 
 
+@pytest.mark.parametrize("most", [1, 4])
+def test_masks_by_halves_are_those_of_sorting(spark, monkeypatch, most):
+    monkeypatch.setattr(suffix_dedup, "MOST_CLASSES", most)
+    rng = random.Random(most)
+    for spread in (9, 16):
+        shape = suffix_dedup.Shape(length=20, spread=spread)
+        some = lambda: bytes(rng.choice(b"\0aa") for _ in range(rng.choice([spread - 1] * 3 + [spread // 2, 0])))  # noqa: B023, E731
+        rows = sorted((rng.randrange(3), some(), some(), k, -k, 7) for k in range(120))
+        want = suffix_dedup.shared_places(shape, *(f(list(c)) for f, c in zip((np.array, list, list), list(zip(*rows, strict=True))[:3], strict=True)))
+        got = np.zeros_like(want)
+        place = {r[3:]: k for k, r in enumerate(rows)}
+        for part in suffix_dedup.masks_by_halves(shape, spark.createDataFrame(rows, suffix_dedup._CONTEXT_SQL).repartition(3)):
+            for r in part.collect():
+                got[:, place[r.s1, r.s2, r.at]] |= np.unpackbits(np.frombuffer(r.mask, np.uint8))[:spread].astype(bool)
+        assert got.tolist() == want.tolist()
+        assert want.any()
+
+
 def test_passages_are_cut_by_their_words(spark):
     rng = random.Random(3)
     passage, line = " ".join(rng.choice(["ab", "cde", "fghi"]) for _ in range(60)), " ".join("license" + str(k) for k in range(30))

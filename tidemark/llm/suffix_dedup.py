@@ -14,11 +14,14 @@ is needed only among the occurrences of one trigger string, and only as far as `
    before its trigger. Both are sorted, the latter read backwards: suffix arrays of what follows a trigger and of what leads to
    it, with the lengths that neighbours share. Together they give, for each of the `spread` places where a string around the
    trigger can start, which classes share it (`shared_places`).
-4. Trigger strings of more than MOST_CLASSES classes are not brought to one task: their strings, `spread` for each class, meet
-   by digests of 128 bits.
+4. Trigger strings of more than MOST_CLASSES classes are not brought to one task. A string that starts in one half of the
+   `spread` places holds all bytes that every string of that half has in common, so contexts meet by the trigger and those
+   bytes, once for either half. A group of them is treated as that of a trigger: contexts that are equal as far as the half's
+   strings reach are one class and share them all, a group with few classes is sorted, and one with too many is halved again,
+   down to single places if need be. Rows grow with the contexts: two for each context of a group that is halved.
 
 The rolling hash only chooses triggers and brings equal ones together. What counts as equal is told by the bytes (3) or by
-BLAKE2b digests of them: 64 bits among the contexts of one trigger hash, 128 bits for strings and texts.
+BLAKE2b digests of them: 64 bits among the contexts of one trigger string, 128 bits for the bytes of a half and for texts.
 
 Rows of copies are counted, not paired, and counts are formed before shuffles. Texts are matched to their repeats by a
 128-bit digest, so texts without any repeat are never moved.
@@ -192,38 +195,26 @@ def _at(marks: list[int], bits: int) -> np.ndarray:
     return marks[marks & (ENDS | HOT) == bits] >> _BITS
 
 
-def _end_strings(shape: Shape, batches: Batches) -> Batches:
-    """128-bit digests (w1, w2) of the strings around triggers marked HOT, each place once."""
-    spread = np.arange(shape.spread)
-    for batch in batches:
-        for s1, s2, z, marks in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            at = _at(marks, ENDS | HOT)
-            if not len(at):
-                continue
-            text = _opened(z)
-            starts = np.unique((at[:, None] - spread).ravel())
-            starts = starts[(starts >= 0) & (starts + shape.length <= len(text))]
-            for k in range(0, len(starts), 1 << 16):
-                here = starts[k : k + (1 << 16)]
-                w = _digest(text, here, here + shape.length, 16)
-                yield pa.record_batch(_numbers(w[:, 0], w[:, 1], np.full(len(here), s1), np.full(len(here), s2), here), ["w1", "w2", "s1", "s2", "at"])
+_CONTEXT = ["g", "before", "behind", "s1", "s2", "at"]
+_CONTEXT_SQL = "g long, before binary, behind binary, s1 long, s2 long, at long"
+_MASK_SQL = "s1 long, s2 long, at long, mask binary"
 
 
-def _contexts(shape: Shape, batches: Batches) -> Batches:
-    """Rows (h, before, behind, s1, s2, at) of triggers marked ENDS: the bytes within reach on either side, those before it backwards."""
+def _contexts(shape: Shape, bits: int, batches: Batches) -> Batches:
+    """Rows (g, before, behind, s1, s2, at) of triggers with these bits: a digest of the trigger, and the bytes within reach on
+    either side of it, those before it backwards."""
     for batch in batches:
         for s1, s2, z, marks in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            at = _at(marks, ENDS)
+            at = _at(marks, bits)
             if not len(at):
                 continue
             text = _opened(z)
-            sums = _rolling().prefixes(np.frombuffer(text, np.uint8))
-            h = (_rolling().stretches(sums, at, at + shape.trigger) | U(1)).view(np.int64)
+            g = _digest(text, at, at + shape.trigger, 8)[:, 0]
             lo, hi = (x.tolist() for x in shape.reach(at, 0, len(text)))
             before = [text[a:k][::-1] for a, k in zip(lo, at.tolist(), strict=True)]
             behind = [text[k + shape.trigger : b] for k, b in zip(at.tolist(), hi, strict=True)]
             n = len(at)
-            yield pa.record_batch([*_numbers(h), pa.array(before, pa.binary()), pa.array(behind, pa.binary()), *_numbers(np.full(n, s1), np.full(n, s2), at)], ["h", "before", "behind", "s1", "s2", "at"])
+            yield pa.record_batch([*_numbers(g), pa.array(before, pa.binary()), pa.array(behind, pa.binary()), *_numbers(np.full(n, s1), np.full(n, s2), at)], _CONTEXT)
 
 
 def _prefix_classes(group: np.ndarray, strings: list[bytes], most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -264,7 +255,7 @@ def shared_places(shape: Shape, group: np.ndarray, before: list[bytes], behind:
 
 
 def _shared(shape: Shape, batches: Batches) -> Batches:
-    """Rows (s1, s2, at, mask) of contexts that share strings, from rows in the order of h; mask has a bit for each place."""
+    """Rows (s1, s2, at, mask) of contexts that share strings, from rows in the order of g; mask has a bit for each place."""
 
     def rows(table: pa.Table) -> pa.RecordBatch:
         found = shared_places(shape, table.column(0).to_numpy(), table.column(1).to_pylist(), table.column(2).to_pylist())
@@ -281,8 +272,8 @@ def _shared(shape: Shape, batches: Batches) -> Batches:
         n += batch.num_rows
         if n >= TOGETHER:
             every = pa.Table.from_batches(held)
-            h = every.column(0).to_numpy()
-            last = int(np.flatnonzero(h == h[-1])[0])  # the last group may go on
+            g = every.column(0).to_numpy()
+            last = int(np.flatnonzero(g == g[-1])[0])  # the last group may go on
             if last:
                 yield rows(every.slice(0, last))
             held, n = every.slice(last).to_batches(), every.num_rows - last
@@ -290,6 +281,66 @@ def _shared(shape: Shape, batches: Batches) -> Batches:
         yield rows(pa.Table.from_batches(held))
 
 
+def _halved(shape: Shape, batches: Batches) -> Batches:
+    """Contexts with places lo to hi, once for each half of the places where they have a string.
+
+    g becomes a digest of the trigger's and of all bytes that the half's strings have in common. r1 and r2 are a digest of all bytes
+    that they reach; mask has a bit for each of them.
+    """
+    most = shape.spread - 1
+    for batch in batches:
+        rows = []
+        for g, before, behind, s1, s2, at, lo, hi in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            middle = (lo + hi) // 2
+            for a, b in ((lo, middle), (middle + 1, hi)):
+                first, last = max(a, most - len(behind)), min(b, len(before))
+                if first > last:
+                    continue
+                own = f"{g},{a},{b},".encode()
+                common = hashlib.blake2b(own + before[:a] + behind[: most - b], digest_size=8).digest()
+                reached = hashlib.blake2b(own + b"%d," % last + before[:b] + behind[: most - a], digest_size=16).digest()
+                places = np.zeros(shape.spread, bool)
+                places[first : last + 1] = True
+                numbers = (int.from_bytes(x, "little", signed=True) for x in (common, reached[:8], reached[8:]))
+                rows.append((before, behind, s1, s2, at, a, b, *numbers, np.packbits(places).tobytes()))
+        if rows:
+            kinds = [pa.binary(), pa.binary(), *[pa.int64()] * 8, pa.binary()]
+            columns = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.record_batch(columns, ["before", "behind", "s1", "s2", "at", "lo", "hi", "g", "r1", "r2", "mask"])
+
+
+def _sorted_masks(shape: Shape, contexts: DataFrame) -> DataFrame:
+    """Rows (s1, s2, at, mask) of contexts that share strings; a group's contexts are sorted in one task."""
+    return contexts.select(*_CONTEXT).repartition("g").sortWithinPartitions("g").mapInArrow(partial(_shared, shape), _MASK_SQL)
+
+
+def masks_by_halves(shape: Shape, contexts: DataFrame) -> list[DataFrame]:
+    """Stored rows (s1, s2, at, mask) of contexts that share strings, whatever the groups' size.
+
+    A group in which a half's strings are a single place has one class, so that there are as many rounds as a group can be
+    halved at most, and as many as are needed.
+    """
+    found: list[DataFrame] = []
+    held = stored(contexts.select(*_CONTEXT, F.lit(0).cast("long").alias("lo"), F.lit(shape.spread - 1).cast("long").alias("hi")))
+    rows = held
+    while not rows.isEmpty():
+        half = stored(rows.mapInArrow(partial(_halved, shape), "before binary, behind binary, s1 long, s2 long, at long, lo long, hi long, g long, r1 long, r2 long, mask binary"))
+        drop_stored(held)
+        one = F.min(F.struct("s1", "s2", "at")).alias("one")
+        classed = stored(half.groupBy("g", "r1", "r2").agg(F.count(F.lit(1)).alias("n"), one))
+        several = stored(classed.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
+        classes = stored(classed.join(several, "g", "left").where("n > 1 or k > 1"))
+        known = half.join(classes, ["g", "r1", "r2"]).withColumn("k", F.when(F.struct("s1", "s2", "at") == F.col("one"), F.col("k")))
+        held = stored(known.where("n > 1 or k > 1").select(*_CONTEXT, "lo", "hi", "mask", "n", "k"))
+        for old in (half, classed, several, classes):
+            drop_stored(old)
+        equal = held.where("n > 1").select("s1", "s2", "at", "mask")
+        found.append(stored(equal.unionByName(_sorted_masks(shape, held.where(F.col("k").between(2, MOST_CLASSES))))))
+        rows = held.where(F.col("k") > MOST_CLASSES).select(*_CONTEXT, "lo", "hi")
+    drop_stored(held)
+    return found
+
+
 def covered(shape: Shape, n: int, marks: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     """Maximal runs of removed bytes: strings at triggers marked WHOLE, and single strings that start at ends."""
     at = marks[marks & WHOLE > 0] >> _BITS
@@ -322,8 +373,8 @@ def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def _runs(shape: Shape, batches: Batches) -> Batches:
     for batch in batches:
         spans = []
-        for z, marks, ends, masks in zip(*(batch.column(k).to_pylist() for k in (3, 4, 5, 6)), strict=True):
-            starts = [np.array(ends or [], np.int64)]
+        for z, marks, masks in zip(*(batch.column(k).to_pylist() for k in (3, 4, 5)), strict=True):
+            starts = [np.zeros(0, np.int64)]
             starts += [x["at"] - np.flatnonzero(np.unpackbits(np.frombuffer(x["mask"], np.uint8))) for x in masks or []]
             spans.append(_listed(covered(shape, len(_opened(z)), np.array(marks, np.int64), np.concatenate(starts))))
         yield pa.record_batch([*batch.columns[:4], pa.array(spans, _SPANS)], ["s1", "s2", "n", "z", "spans"])
@@ -357,16 +408,15 @@ def repeats(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     marked = stored(_marked_texts(texts, marks))
     drop_stored(marks)
     at_ends = marked.where(F.exists("marks", lambda x: x.bitwiseAND(F.lit(ENDS)) > 0)).select("s1", "s2", "z", "marks")
-    contexts = at_ends.mapInArrow(partial(_contexts, shape), "h long, before binary, behind binary, s1 long, s2 long, at long")
-    masks = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(partial(_shared, shape), "s1 long, s2 long, at long, mask binary")
-    masks = masks.groupBy("s1", "s2").agg(F.collect_list(F.struct("at", "mask")).alias("masks"))
     hot = at_ends.where(F.exists("marks", lambda x: x.bitwiseAND(F.lit(HOT)) > 0))
-    strings = stored(hot.mapInArrow(partial(_end_strings, shape), "w1 long, w2 long, s1 long, s2 long, at long"))
-    same = stored(strings.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2"))
-    found = strings.join(same, ["w1", "w2"]).groupBy("s1", "s2").agg(F.collect_list("at").alias("ends"))
-    every = marked.join(found, ["s1", "s2"], "left").join(masks, ["s1", "s2"], "left").select("s1", "s2", "n", "z", "marks", "ends", "masks")
+    of_hot = masks_by_halves(shape, hot.mapInArrow(partial(_contexts, shape, ENDS | HOT), _CONTEXT_SQL))
+    masks = _sorted_masks(shape, at_ends.mapInArrow(partial(_contexts, shape, ENDS), _CONTEXT_SQL))
+    for more in of_hot:
+        masks = masks.unionByName(more)
+    masks = masks.groupBy("s1", "s2").agg(F.collect_list(F.struct("at", "mask")).alias("masks"))
+    every = marked.join(masks, ["s1", "s2"], "left").select("s1", "s2", "n", "z", "marks", "masks")
     out = stored(every.mapInArrow(partial(_runs, shape), f"s1 long, s2 long, n long, z binary, spans {_SPANS_SQL}").where(F.size("spans") > 0))
-    for old in (marked, strings, same):
+    for old in (marked, *of_hot):
         drop_stored(old)
     return out
 

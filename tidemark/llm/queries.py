@@ -72,7 +72,9 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    rows = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    joined = lambda name: F.concat_ws(",", F.transform(name, lambda x: F.concat_ws(":", x["start"], x["end"]))).alias(name)
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", joined("spans"), joined("passages"), "passage_bytes")
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

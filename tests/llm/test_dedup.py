@@ -6,12 +6,15 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from tests.llm.cases import awkward, docs, sentence
 
 import corpus_pipeline
 from tidemark.llm import embedding_dedup, graph, hashing, ngram_join, suffix_dedup
+from tidemark.llm.oracles import ORACLE_SQL
+from tidemark.llm.queries import QUERIES
 
 
 class Union:
@@ -362,3 +365,16 @@ def test_pipeline_stages_on_awkward_and_empty_tables(spark):
             if name == "ngram_join" and rows:
                 ids = [r.doc_id for r in rows]
                 assert ids.count(7) == 0 and ids.count(6) == 1 and ids.count(None) == 2
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_queries_return_the_columns_and_rows_of_their_sql(spark, name):
+    folder = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{folder}/{table}.parquet')")
+    found = db.execute(ORACLE_SQL[name])
+    columns = [c[0] for c in found.description]
+    got = QUERIES[name](spark, folder)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(found.fetchall())

@@ -50,6 +50,45 @@ def test_cached_ids_of_any_text(text):
 CODERS: dict = {}
 
 
+@pytest.mark.parametrize("slice_bytes", [1, 300, 1 << 20])
+def test_columns_give_the_librarys_ids(monkeypatch, slice_bytes):
+    import pyarrow as pa
+
+    from tidemark.llm import tokens
+
+    monkeypatch.setattr(tokens, "_SLICE", slice_bytes)
+    coder, rng = CachedEncoder(vocabulary(BYTE), "byte", 40), random.Random(3)
+    tails = ["", "", ".", ",", "!!", "***", ".%%%", "'", "'s", "'s!", "\"", "-", "3", "3.", "º!", "҈!"]
+    texts = ["".join(f"{rng.choice([' ', ' ', chr(10)])}{sentence(rng, 1, 'xyz')}{rng.choice(tails)}" for _ in range(30))[1:] for _ in range(40)]
+    texts += [None, *ODD, "\r", "a\rb", "!!", "\n!!", "a\n!!\nb!!", "Ω! Ω", "\0 a", *[t for _, t in awkward()]]
+    for column in (pa.array(texts), pa.array([None, *texts], pa.large_string()).slice(1), pa.array([], pa.string())):
+        got = coder.encode_column(column)
+        assert len(got) == len(column)
+        for t, ids in zip(column.to_pylist(), got, strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == plain(coder, t or ""), (t or "")[:80]
+    assert coder.older and len(coder.known) + len(coder.older) < 500 or slice_bytes > 300
+
+
+def test_words_reach_the_library_once_whatever_marks_follow(monkeypatch):
+    coder, sent = CachedEncoder(vocabulary(BYTE), "byte"), []
+    ids = coder._ids
+    monkeypatch.setattr(coder, "_ids", lambda texts: sent.extend(texts) or ids(texts))
+    texts = ["x " + " ".join(f"brimmold{a}" for a in ("", ".", "!!", "***", ".%%%", ",", "\nbrimmold!!"))] * 3
+    for t, got in zip(texts, coder.encode(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == plain(coder, t)
+    assert "".join(sent).count(" brimmold") == 1
+
+
+def test_small_batches_are_joined_up_to_a_bound(monkeypatch):
+    import pyarrow as pa
+
+    batches = [pa.record_batch([pa.array([k]), pa.array(["x" * n])], ["doc_id", "text"]) for k, n in enumerate([5, 5, 5000, 5, 0, 5])]
+    monkeypatch.setattr(token_files, "BATCH_BYTES", 200)
+    got = list(token_files.together(iter(batches)))
+    assert [b.column(0).to_pylist() for b in got] == [[0, 1], [2], [3, 4, 5]]
+    assert list(token_files.together(iter([]))) == []
+
+
 @pytest.mark.parametrize("style,name", [("byte", BYTE), ("word", WORD)])
 def test_added_tokens_are_the_unaltered_librarys(style, name):
     fresh, coder = Tokenizer.from_file(vocabulary(name)), CachedEncoder(vocabulary(name), style)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Batches, partitions_for, prepare, texts_of
+from .common import Batches, partitions_for, prepare, spare_memory
 from .tokens import encoder
 
 #: Fixed values of the format.
@@ -41,6 +41,8 @@ FRAMES = np.dtype([("at", "<u8"), ("size", "<u8"), ("ids", "<u8"), ("crc", "<u4"
 DOCS = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("frame", "<u4"), ("first", "<u8"), ("ids", "<u8")])
 #: Input bytes for each file, so that a file fits in a task many times over.
 FILE_BYTES = 16 << 20
+#: Texts encoded together.
+BATCH_BYTES = 4 << 20
 #: Files whose ids are summed in one task.
 RUN = 4096
 #: Files whose first ids are broadcast (16 bytes each); more are joined by a shuffle.
@@ -102,14 +104,27 @@ def frame_ids(content: bytes, frame: np.void) -> bytes:
     return zstandard.ZstdDecompressor().decompress(raw, max_output_size=4 * int(frame["ids"]))
 
 
+def together(batches: Batches) -> Batches:
+    """Small batches joined up to BATCH_BYTES, as their texts share parts."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > BATCH_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, style: str = "byte", end_id: int = 0) -> None:
     """Encode docs (doc_id, text), append end_id to each, and write them below path in ascending doc_id order."""
     prepare(docs.sparkSession)
 
     def frames(batches: Batches) -> Batches:
         out, end = Frames(), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            ids = encoder(tokenizer, style).encode(texts_of(batch.column(1)))
+        for batch in together(batches):
+            ids = encoder(tokenizer, style).encode_column(batch.column(1))
             full = [f for d, x in zip(batch.column(0).to_pylist(), ids, strict=True) if (f := out.add(d, x + end))]
             if full:
                 yield pa.record_batch([pa.array(full, pa.binary())], ["frame"])
@@ -135,6 +150,7 @@ def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None =
     wanted = None if doc_ids is None else np.unique(np.array(doc_ids, np.int64))
 
     def documents(batches: Batches) -> Batches:
+        spare_memory()
         for batch in batches:
             for number, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 content = content.as_py()

@@ -10,22 +10,33 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from .common import KEPT
+from .common import KEPT, texts_of
 
 _UNKNOWN = re.compile("[^\n -~¡-˿Ͱ-ᙿ]")
 _PLAIN_PART = re.compile(" ?[!-~¡-˿Ͱ-ᙿ]+|\n")
 #: Parts encoded in one call.
 _TOGETHER = 64
+#: Texts that aren't cut at single blanks and line feeds; RE2, as Arrow matches it.
+_NOT_CUT = r"[^\n -~\x{A1}-\x{2FF}\x{370}-\x{167F}]|[ \n][ \n]|\A[ \n]|[ \n]\z|\A\z"
+#: Behind a letter these are one word of their own to the byte style's tokenizer, as many as follow each other.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Bytes of texts that are cut at once, or one text.
+_SLICE = 4 << 20
 
 
 class CachedEncoder:
     """Little-endian unsigned 32-bit ids of texts.
 
     style "byte": byte-level BPE whose words carry the blank before them; "word": BPE with word ends, white space dropped.
-    max_parts bounds the kept parts, and with them the memory.
+    max_parts bounds the kept parts, and with them the memory. Columns are encoded with two tables of a quarter as many parts, and a
+    slice's new ones: when the first is full it becomes the second, whose parts are taken over where they occur again.
     """
 
     def __init__(self, path: str, style: str, max_parts: int = 800_000):
@@ -34,7 +45,7 @@ class CachedEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.style, self.max_parts, self.known = style, max_parts, {}
+        self.style, self.max_parts, self.known, self.older = style, max_parts, {}, {}
         self.ends = {c: self._ids([c])[0].tobytes() for c in ",."}
         if style == "byte":
             blank = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0]
@@ -75,7 +86,9 @@ class CachedEncoder:
         alone = [p for p in new if not (p[0] == " " if byte else "0" not in p)]
         self.known.update((p, x.tobytes()) for p, x in zip(alone, self._ids(alone), strict=True))
         groups = [joint[k : k + _TOGETHER] for k in range(0, len(joint), _TOGETHER)]
-        for group, ids in zip(groups, self._ids([("" if byte else " 0 ").join(g) for g in groups]), strict=True):
+        step = _TOGETHER if byte else max(1, len(groups))
+        calls = (self._ids([("" if byte else " 0 ").join(g) for g in groups[k : k + step]]) for k in range(0, len(groups), step))
+        for group, ids in zip(groups, chain.from_iterable(calls), strict=True):
             if byte:
                 at = np.append(np.flatnonzero(self.opens[ids]), len(ids))
                 ends, starts = at[1:], at[:-1]
@@ -99,7 +112,70 @@ class CachedEncoder:
         self.known.update((p, x.tobytes()) for p, x in zip(odd, self._ids(odd), strict=True))
         self._learn(new.difference(odd))
 
+    def encode_column(self, column: pa.Array) -> list[bytes]:
+        """As encode, of a column of strings; null counts as empty. In the byte style Arrow cuts the texts, and only a slice's distinct parts are looked up."""
+        if self.style != "byte":
+            return self.encode(texts_of(column))
+        texts, out = pc.fill_null(column.cast(pa.large_string()), ""), []
+        slices = np.cumsum(pc.binary_length(texts).to_numpy()) // _SLICE
+        bounds = [0, *(np.flatnonzero(np.diff(slices)) + 1).tolist(), len(texts)]
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            if len(self.known) > self.max_parts // 4:
+                self.known, self.older = self.older, self.known
+                self.known.clear()
+            out += self._encode_slice(texts.slice(a, b - a))
+        return out
+
+    def _encode_slice(self, texts: pa.Array) -> list[bytes]:
+        whole = pc.match_substring_regex(texts, "|".join([_NOT_CUT, *map(re.escape, self.added)]))
+        # a carriage return, which no such text holds, stands before the first part, which has no blank; line feeds begin parts
+        cut = pc.replace_substring(texts.filter(pc.invert(whole)), "\n", " \n")
+        cut = pc.binary_join_element_wise(pa.scalar("\r", pa.large_string()), cut, pa.scalar("", pa.large_string()))
+        cut = pc.split_pattern(cut, " ")
+        firsts, parts = cut.offsets.to_numpy(), cut.flatten().dictionary_encode()
+        del cut
+        joined = pa.array(self._ids_of(parts.dictionary), pa.large_binary()).take(parts.indices)
+        del parts
+        at = np.append(0, np.cumsum(pc.binary_length(joined).to_numpy()))[firsts].tolist()
+        raw = memoryview(joined.buffers()[2] or b"")
+        known = iter([raw[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)])
+        others = iter(self._ids(texts.filter(whole).to_pylist()))
+        return [next(others).tobytes() if w else next(known) for w in whole.to_pylist()]
+
+    def _ids_of(self, parts: pa.Array) -> list[bytes]:
+        """Ids of parts of _encode_slice. They are kept by the part with a blank before it, also where it begins a text or a line."""
+        if len(parts) == 0:
+            return []
+        known = self.known
+        keys = (" " + pc.binary_join(pa.ListArray.from_arrays([0, len(parts)], parts), pa.scalar("\0 ", pa.large_string()))[0].as_py()).split("\0")
+        new, made, bases, ends = {"\n"}, [], [], []
+        for key in self._unknown(keys):
+            word = key if key[1] > "\r" else key[2:]
+            base = word.rstrip(_MARKS)
+            if base != word and not ("A" <= base[-1:] < "ɐ" and base[-1].isalpha()):
+                base = word
+            new.add(base)
+            if base != key:
+                made.append(key)
+                bases.append(base)
+                ends.append(word[len(base) :])
+        self._call(self._unknown(new.union(filter(None, ends))))
+        for key, base, end in zip(made, bases, ends, strict=True):
+            ids = known[base] + known[end] if end else known[base]
+            known[key] = known["\n"] + ids if key[1] == "\n" else ids
+        return list(map(known.__getitem__, keys))
+
+    def _unknown(self, parts: Iterable[str]) -> list[str]:
+        """Those without known ids, after those of before are taken over."""
+        known = self.known
+        new = [p for p in parts if p not in known]
+        before = list(map(self.older.get, new))
+        known.update((p, x) for p, x in zip(new, before, strict=True) if x is not None)
+        return [p for p, x in zip(new, before, strict=True) if x is None]
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        if self.style == "byte":
+            return self.encode_column(pa.array(texts, pa.large_string()))
         self.trim()
         cut = [self.parts(t) for t in texts]
         known = self.known
@@ -117,5 +193,5 @@ def encoder(path: str, style: str) -> CachedEncoder:
     """The worker's own encoder, kept from task to task."""
     if (path, style) not in _ENCODERS:
         _ENCODERS[path, style] = CachedEncoder(path, style, _MOST[style])
-        KEPT.append(_ENCODERS[path, style].known)
+        KEPT.extend([_ENCODERS[path, style].known, _ENCODERS[path, style].older])
     return _ENCODERS[path, style]

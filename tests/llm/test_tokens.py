@@ -3,6 +3,8 @@
 import glob
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tests.llm.cases import awkward, docs, sentence
 
-from tidemark.llm import packing, queries, token_counts, token_files
+from tidemark.llm import common, packing, queries, token_counts, token_files
 from tidemark.llm.queries import vocabulary
 from tidemark.llm.tokens import CachedEncoder
 
@@ -292,3 +294,30 @@ def test_packing_groups_stay_small_where_the_bound_cannot_be_met(spark, monkeypa
         groups.setdefault(r.sequence_id >> 22, []).append(r)
     assert max(map(len, groups.values())) <= 2 * packing.MOST * 100
     assert all(r.group_bins >= r.group_bound for r in got)
+
+
+def test_words_are_learnt_from_a_few_texts_at_a_time(monkeypatch):
+    coder, sizes = CachedEncoder(vocabulary(WORD), "word"), []
+    learn = coder._learn
+    monkeypatch.setattr(coder, "_learn", lambda new: (sizes.append(len(new)), learn(new)))
+    texts = [" ".join(f"w{k}x{i}" for i in range(20)) for k in range(300)]
+    got = coder.encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain(coder, t) for t in texts]
+    assert sum(sizes) == 6000 and max(sizes) <= 64 * 20
+
+
+def test_a_worker_gives_freed_memory_back():
+    code = """
+import re
+from tidemark.llm import common
+def mb():
+    return sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) // 1024
+held = [bytes([1]) * 20_000 for _ in range(10_000)]
+kept = held[::100]
+before = mb()
+del held
+common.spare_memory()
+print(before - mb())
+"""
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=common.ROOT, check=True)
+    assert int(said.stdout) > 150

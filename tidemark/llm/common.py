@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -140,14 +142,29 @@ def partitions_for(df: DataFrame, bytes_each: int) -> int:
     return max(least, math.ceil(text_bytes(df) / bytes_each))
 
 
+GIVE_BACK = 0.5
+_given = float("-inf")
+#: Of glibc; other C libraries have none.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: Tables that operators keep in a Python worker from task to task.
 KEPT: list[dict] = []
 
 
+def give_back() -> None:
+    """Returns what this worker has freed to the system, which malloc and Arrow don't by themselves; no more often than each GIVE_BACK seconds."""
+    global _given
+    if time.monotonic() >= _given + GIVE_BACK:
+        pa.default_memory_pool().release_unused()
+        if _TRIM is not None:
+            _TRIM(0)
+        _given = time.monotonic()
+
+
 def spare_memory() -> None:
     """Empties what other operators have kept in this worker: workers are used again, and their memory adds up."""
     for kept in KEPT:
         kept.clear()
+    give_back()
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, drop_stored, prepare, stored, texts_of
+from .common import Batches, drop_stored, give_back, prepare, stored, texts_of
 from .tokens import encoder
 
 CAPACITY = 2048
@@ -43,6 +43,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, style: str = "word", end_id: i
         import zlib
 
         end = np.array([end_id], "<u4").tobytes()
+        give_back()
         for batch in batches:
             rows = []
             for d, ids in zip(batch.column(0).to_pylist(), encoder(tokenizer, style).encode(texts_of(batch.column(1))), strict=True):
@@ -51,6 +52,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, style: str = "word", end_id: i
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            give_back()
 
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return docs.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")

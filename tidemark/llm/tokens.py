@@ -27,8 +27,8 @@ _TOGETHER = 64
 _NOT_CUT = r"[^\n -~\x{A1}-\x{2FF}\x{370}-\x{167F}]|[ \n][ \n]|\A[ \n]|[ \n]\z|\A\z"
 #: Behind a letter these are one word of their own to the byte style's tokenizer, as many as follow each other.
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Bytes of texts that are cut at once, or one text.
-_SLICE = 4 << 20
+#: Bytes of texts that are cut at once, or one text; in the word style, texts.
+_SLICE, _TEXTS = 4 << 20, 64
 
 
 class CachedEncoder:
@@ -176,12 +176,15 @@ class CachedEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.style == "byte":
             return self.encode_column(pa.array(texts, pa.large_string()))
-        self.trim()
-        cut = [self.parts(t) for t in texts]
-        known = self.known
-        self._learn(set().union(*(parts for parts in cut if parts)).difference(known))
-        get = known.__getitem__
-        return [self._ids([t])[0].tobytes() if parts is None else b"".join(map(get, parts)) for t, parts in zip(texts, cut, strict=True)]
+        out, known = [], self.known
+        for k in range(0, len(texts), _TEXTS):
+            self.trim()
+            some = texts[k : k + _TEXTS]
+            cut = [self.parts(t) for t in some]
+            self._learn(set().union(*(parts for parts in cut if parts)).difference(known))
+            get = known.__getitem__
+            out += [self._ids([t])[0].tobytes() if parts is None else b"".join(map(get, parts)) for t, parts in zip(some, cut, strict=True)]
+        return out
 
 
 _ENCODERS: dict[tuple[str, str], CachedEncoder] = {}

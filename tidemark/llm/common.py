@@ -150,10 +150,10 @@ _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 KEPT: list[dict] = []
 
 
-def give_back() -> None:
-    """Returns what this worker has freed to the system, which malloc and Arrow don't by themselves; no more often than each GIVE_BACK seconds."""
+def give_back(seconds: float = GIVE_BACK) -> None:
+    """Returns what this worker has freed to the system, which malloc and Arrow don't by themselves; not if it was done less than so many seconds ago."""
     global _given
-    if time.monotonic() >= _given + GIVE_BACK:
+    if time.monotonic() >= _given + seconds:
         pa.default_memory_pool().release_unused()
         if _TRIM is not None:
             _TRIM(0)

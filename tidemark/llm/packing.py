@@ -27,6 +27,8 @@ from .common import Batches, drop_stored, give_back, prepare, stored, texts_of
 from .tokens import encoder
 
 CAPACITY = 2048
+#: Seconds between two times that a task returns freed memory, which it soon needs again.
+GIVE_BACK = 2
 #: Pieces dealt to a group on average: what one task packs at once.
 GROUP = 4096
 #: How much the groups grow each round, and up to how many times GROUP.
@@ -52,7 +54,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, style: str = "word", end_id: i
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
-            give_back()
+            give_back(GIVE_BACK)
 
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return docs.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")

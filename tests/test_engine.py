@@ -2,6 +2,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from tests.series import Slow, close, frame, load, shown
 
 from tidemark.engine import Engine, Options
@@ -155,6 +156,38 @@ def test_range_equals_slow_instants(spark, query):
         assert all(close(a, b) for (_, a), (_, b) in zip(have, want, strict=True)), (ts, have, want)
 
 
+@pytest.mark.parametrize("query", ["stddev_over_time(requests[{}ms])"])
+def test_spread_keeps_no_row_for_a_pair_of_summary_and_window(spark, query):
+    """Windows are merged where the series' summaries stand: nothing is joined, and after the steps are exploded nothing is sorted, grouped or sent."""
+    engine = Engine(frame(spark, random_series(7)), Options(max_samples=None))
+    plan = engine.plan(query.format(4500), 2000, 16_000, 1500)._jdf.queryExecution().sparkPlan().toString()
+    above, _, below = plan.partition("Generate explode")
+    assert below and "Window" in below and "Join" not in plan
+    assert not any(x in above for x in ("Aggregate", "Sort", "Window", "Exchange"))
+
+
+@pytest.mark.parametrize("query", ["stddev_over_time(requests[{}ms])"])
+def test_spread_of_any_width(spark, query):
+    """Wide, odd and narrow windows (some samples are in none), sparse series, equal times of many series, a level far above the differences."""
+    series = {k: [(t, v + 1e9 * (i % 2)) for t, v in samples if i % 3 or t % 5 < 2] for i, (k, samples) in enumerate(random_series(11).items())}
+    slow = Slow(series, lookback=3000)
+    engine = Engine(frame(spark, series).repartition(3), Options(lookback=3000, max_samples=None))
+    for width in (500, 1500, 4501, 60_000):
+        got = {(r.ts, *((x.name, x.value) for x in r.labels)): r.v for r in engine.range(query.format(width), 2000, 17_000, 1500).collect()}
+        want = {(ts, *k): v for ts in range(2000, 17_001, 1500) for k, v in slow.at(query.format(width), ts).items()}
+        assert got == pytest.approx(want, rel=1e-6, abs=1e-5, nan_ok=True)
+
+
+@pytest.mark.parametrize("query", ["stddev_over_time(requests[{}ms])"])
+def test_spread_of_values_that_are_missing(spark, query):
+    label = {k: (("__name__", "requests"), ("k", k)) for k in "ab"}
+    rows = frame(spark, {label["a"]: [(500, 1.0), (1500, 2.0), (1600, 4.0)], label["b"]: [(1500, 2.0)]})
+    rows = rows.withColumn("v", F.when(F.col("v") != 2, F.col("v")))  # 2 stands for null
+    got = {(r.ts, r.labels[0].value): r.v for r in Engine(rows, Options(max_samples=None)).range(query.format(2000), 1000, 2000, 1000).collect()}
+    assert got.pop((2000, "a")) == pytest.approx(1.5 if "stddev" in query else 2.25)
+    assert got == {(1000, "a"): 0.0, (2000, "b"): None}
+
+
 def test_range_equals_instants(spark):
     series = frame(spark, random_series(5))
     engine = Engine(series, Options(lookback=3000, max_samples=None))

@@ -156,7 +156,7 @@ def test_range_equals_slow_instants(spark, query):
         assert all(close(a, b) for (_, a), (_, b) in zip(have, want, strict=True)), (ts, have, want)
 
 
-@pytest.mark.parametrize("query", ["stddev_over_time(requests[{}ms])"])
+@pytest.mark.parametrize("query", ["stddev_over_time(requests[{}ms])", "stdvar_over_time(requests[{}ms])"])
 def test_spread_keeps_no_row_for_a_pair_of_summary_and_window(spark, query):
     """Windows are merged where the series' summaries stand: nothing is joined, and after the steps are exploded nothing is sorted, grouped or sent."""
     engine = Engine(frame(spark, random_series(7)), Options(max_samples=None))
@@ -166,7 +166,7 @@ def test_spread_keeps_no_row_for_a_pair_of_summary_and_window(spark, query):
     assert not any(x in above for x in ("Aggregate", "Sort", "Window", "Exchange"))
 
 
-@pytest.mark.parametrize("query", ["stddev_over_time(requests[{}ms])"])
+@pytest.mark.parametrize("query", ["stddev_over_time(requests[{}ms])", "stdvar_over_time(requests[{}ms])"])
 def test_spread_of_any_width(spark, query):
     """Wide, odd and narrow windows (some samples are in none), sparse series, equal times of many series, a level far above the differences."""
     series = {k: [(t, v + 1e9 * (i % 2)) for t, v in samples if i % 3 or t % 5 < 2] for i, (k, samples) in enumerate(random_series(11).items())}
@@ -178,7 +178,7 @@ def test_spread_of_any_width(spark, query):
         assert got == pytest.approx(want, rel=1e-6, abs=1e-5, nan_ok=True)
 
 
-@pytest.mark.parametrize("query", ["stddev_over_time(requests[{}ms])"])
+@pytest.mark.parametrize("query", ["stddev_over_time(requests[{}ms])", "stdvar_over_time(requests[{}ms])"])
 def test_spread_of_values_that_are_missing(spark, query):
     label = {k: (("__name__", "requests"), ("k", k)) for k in "ab"}
     rows = frame(spark, {label["a"]: [(500, 1.0), (1500, 2.0), (1600, 4.0)], label["b"]: [(1500, 2.0)]})
